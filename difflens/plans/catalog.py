@@ -9,6 +9,7 @@ from ..functions import values as V
 from ..operators import diff, files, findings, registry
 from ..sources import corpus, staging
 from . import oracle as O
+from . import presets
 
 FINDING = ["pr_id", "path", "line_no", "rule_id", "severity", "message"]
 
@@ -30,14 +31,9 @@ def query(name, sql=None, *needs, extra=None):
 def staged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed lines by language; lines of files outside the review keep only their place."""
 
-    def build():
-        lines = diff.explode_diffs(corpus.diffs(spark, sf_dir))
-        inside = files.is_reviewable(F.col("path"))
-        return lines.withColumn("content", F.when(inside, F.col("content"))).withColumn(
-            "lang", F.when(inside, files.language(F.col("path"))).otherwise("outside")
-        )
-
-    return staging.stage_once(spark, ("changed_lines", sf_dir), build, ("lang",))
+    return staging.stage_once(
+        spark, ("changed_lines", sf_dir), lambda: presets.lines_by_language(corpus.diffs(spark, sf_dir)), ("lang",)
+    )
 
 
 def reviewed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +54,7 @@ def seen(spark, sf_dir):
 
 def ranked(spark, sf_dir):
     """The bot's findings: de-duplicated, ranked, at most 30 per PR."""
-    return findings.prioritise(findings.deduplicate(staged_findings(spark, sf_dir).drop("suppressed")))
+    return presets.ranked_findings(staged_findings(spark, sf_dir).drop("suppressed"))
 
 
 # ------------------------------------------------------------------ diffs

@@ -203,7 +203,7 @@ def _rules() -> dict[str, dict]:
     hung = "coalesce(" + ", ".join(f"nullif({x('text', V.HUNGARIAN, g)}, '')" for g in (1, 2, 3, 4)) + ")"
     pub_pattern = V.PUBLIC_FIELD_HEAD + r"((?:readonly\s+)?\w+(?:<[^>]+>)?)\s+([A-Z]\w*)\s*;"
     pub_type, pub_name = x("text", pub_pattern, 1), x("text", pub_pattern, 2)
-    not_types = "^" + V.PUBLIC_FIELD_EXCLUDED[2:]
+    not_types = "^" + V.PUBLIC_FIELD_EXCLUDED.replace("(?!", "(?:", 1)
     void_name, task_name = x("text", V.ASYNC_VOID, 1), x("text", V.ASYNC_METHOD, 1)
     code = rep(rep(rep("text", '"[^"]*"', '""'), "'[^']*'", "''"), "//.*$", "")
     magic = (
@@ -227,7 +227,7 @@ def _rules() -> dict[str, dict]:
     add("CS-NAME-002", "CSharpNamingRules", 2, cs, f"NOT {SLASH} AND {field} <> '' AND {field} NOT IN ({', '.join(map(lit, V.PRIVATE_FIELD_ALLOWED))})", (field,), "content", f"regexp_replace(content, '\\b' || {field} || '\\b', '_' || {field})")
     add("CS-NAME-003", "CSharpNamingRules", 3, cs, f"NOT {SLASH} AND {m('text', V.HUNGARIAN)}", (hung,))
     add("CS-NAME-004", "CSharpNamingRules", 4, cs, f"NOT {SLASH} AND {m('text', V.VAR_PRIMITIVE)}")
-    add("CS-NAME-005", "CSharpNamingRules", 5, cs, f"NOT {SLASH} AND {pub_name} <> '' AND NOT {m(pub_type, not_types.replace('(?!', '(?:', 1) if '(?!' in not_types else '^(?:' + not_types[2:])}", (pub_name,))
+    add("CS-NAME-005", "CSharpNamingRules", 5, cs, f"NOT {SLASH} AND {pub_name} <> '' AND NOT {m(pub_type, not_types)}", (pub_name,))
     add("CS-STYLE-001", "CSharpStyleRules", 1, cs, f"NOT {SLASH} AND {WIDTH} > 138", (f"CAST({WIDTH} AS BIGINT)",), by_line=True)
     add("CS-STYLE-002", "CSharpStyleRules", 2, cs, f"NOT {SLASH} AND {m(rep('text', r'\bthis\.(GetType|Equals|ReferenceEquals|MemberwiseClone)', ''), r'\bthis\.')}", (), "content", rep("content", r"\bthis\.", ""), True)
     add("CS-STYLE-004", "CSharpStyleRules", 4, cs, f"NOT {SLASH} AND {m('text', V.ENTITY_FRAMEWORK, 'i')}", by_line=True)
