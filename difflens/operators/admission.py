@@ -12,7 +12,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -33,6 +33,13 @@ class Admission:
         return True
 
 
+def micros(events: DataFrame, ts: str) -> Column:
+    """Microseconds of a time column; one without time zone is read as it stands."""
+    if dict(events.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(ts)
+
+
 def split_at_pauses(events: DataFrame, window_us: int) -> DataFrame:
     """Adds ``burst``: events of a key in different bursts lie at least a window apart.
 
@@ -62,7 +69,7 @@ def admit(
     """``(key, ts, order, accepted)`` for every event; ``order`` settles equal times."""
     window_us = window_seconds * 1_000_000
     slim = events.select(
-        F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(order).alias("seq"), F.unix_micros(ts).alias("us")
+        F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(order).alias("seq"), micros(events, ts).alias("us")
     )
     spread = (
         split_at_pauses(slim, window_us)
