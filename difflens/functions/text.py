@@ -63,17 +63,14 @@ def is_ascii(c: Column) -> Column:
 
 
 def expanded_length(c: Column, tab: int = V.TAB_WIDTH) -> Column:
-    """Length after expanding tabs. Behind a tab the column is a multiple of the
-    tab width, so each piece's padding depends on that piece alone."""
-    pieces = F.split(c, "\t")
-    before_tab = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    padding = F.aggregate(
-        before_tab,
-        F.lit(0),
-        lambda acc, p: acc + tab - F.char_length(F.substring_index(p, "\r", -1)) % tab,
-    )
-    tabs = F.size(pieces) - 1
-    return F.when(F.contains(c, F.lit("\t")), F.char_length(c) - tabs + padding).otherwise(F.char_length(c))
+    """Length after expanding tabs.
+
+    Behind a tab the column is a multiple of the tab width, so a piece of n characters
+    and its tab take the whole widths in n, plus one. A carriage return starts over.
+    ``\\G`` and the possessive quantifiers keep this linear on very long lines."""
+    piece = rf"\G((?:[^\t\r]*+\r)*+(?:[^\t\r]{{{tab}}})*+)[^\t\r]{{0,{tab - 1}}}+\t"
+    expanded = F.regexp_replace(c, piece, "$1" + " " * tab)
+    return F.when(F.contains(c, F.lit("\t")), F.char_length(expanded)).otherwise(F.char_length(c))
 
 
 def fill(template: str, *parts: Column) -> Column:

@@ -198,8 +198,13 @@ def _language_findings(lines: DataFrame, lang: str, rule_ids: set | None) -> Dat
                 ),
             )
         )
+    # One column per rule, then one row per hit: the rules stay separate pieces of generated
+    # code; as arguments of the generator they would be interpreted or one huge method.
+    place = ["pr_id", "file_idx", "path", "line_no"]
+    per_rule = [f"hit_{i}" for i in range(len(hits))]
     return (
-        prepared.select("pr_id", "file_idx", "path", "line_no", F.inline(F.array(*hits)))
+        prepared.select(*place, *[h.alias(n) for h, n in zip(hits, per_rule)])
+        .select(*place, F.inline(F.array(*per_rule)))
         .filter(F.col("rule_id").isNotNull())
         .select(*FINDING_COLUMNS)
     )
