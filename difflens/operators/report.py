@@ -193,59 +193,49 @@ def html_pieces(reviews: DataFrame, issues: DataFrame) -> DataFrame:
     card = lambda label, n: F.format_string(f'<li class="{label}">{label}: <b>%d</b></li>', n)
     order = [F.lit(None).cast("bigint").alias(c) for c in ("line_no", "rule_ord", "phase", "emit_pos", "emit_sub")]
 
-    found = (
-        issues.filter(~F.col("suppressed")).groupBy("pr_id", "path").agg(*counts.severity_counts())
-    )
-    with_files = found.select("pr_id").distinct().withColumn("any", F.lit(True))
-    head = reviews.select(
-        "pr_id",
-        F.lit(0).alias("section"),
-        F.lit("").alias("path"),
-        F.lit(0).alias("kind"),
-        *order,
-        F.concat(
-            F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>Code Review Report — '),
-            esc(F.col("issue_key")),
-            F.lit("</title></head><body>\n<h1>Code Review Report</h1>\n<p>"),
-            esc(F.col("issue_key")), F.lit(" &mdash; PR #"), F.col("pr_id").cast("string"), F.lit(": "),
-            esc(F.col("pr_title")), F.lit(" &mdash; Generated "), stamp, F.lit("</p>\n<ul>"),
-            card("Total", total), card("Errors", F.col("errors")), card("Warnings", F.col("warnings")),
-            card("Suggestions", F.col("suggestions")),
-            F.lit('</ul>\n<p>Scope Score: <b style="color:'), colour, F.lit('">'), score.cast("string"),
-            F.lit("%</b></p>\n<p>"), esc(F.col("summary")), F.lit("</p>\n<h2>File Analysis</h2>\n"),
-        ).alias("html"),
-    )
-    empty = reviews.join(with_files, "pr_id", "left_anti").select(
-        "pr_id", F.lit(1).alias("section"), F.lit("").alias("path"), F.lit(0).alias("kind"), *order,
-        F.lit("<p>No issues found.</p>\n").alias("html"),
-    )
-    opened = found.select(
-        "pr_id", F.lit(1).alias("section"), "path", F.lit(0).alias("kind"), *order,
-        F.concat(
-            F.lit("<h3>"), esc(T.report_path(F.col("path"))), F.lit(" <small>"),
-            F.format_string("%dE / %dW / %dS", "errors", "warnings", "suggestions"), F.lit("</small></h3>\n<table>\n"),
-        ).alias("html"),
-    )
-    rows = issues.filter(~F.col("suppressed")).select(
+    def piece(section, kind, html, path=""):
+        return F.struct(
+            F.lit(section).alias("section"), (F.lit(path) if isinstance(path, str) else path).alias("path"),
+            F.lit(kind).alias("kind"), *order, html.alias("html"),
+        )
+
+    shown = issues.filter(~F.col("suppressed"))
+    per_file = shown.groupBy("pr_id", "path").agg(*counts.severity_counts())
+    with_files = per_file.select("pr_id").distinct().withColumn("any", F.lit(True))
+    head = F.concat(
+        F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>Code Review Report — '),
+        esc(F.col("issue_key")),
+        F.lit("</title></head><body>\n<h1>Code Review Report</h1>\n<p>"),
+        esc(F.col("issue_key")), F.lit(" &mdash; PR #"), F.col("pr_id").cast("string"), F.lit(": "),
+        esc(F.col("pr_title")), F.lit(" &mdash; Generated "), stamp, F.lit("</p>\n<ul>"),
+        card("Total", total), card("Errors", F.col("errors")), card("Warnings", F.col("warnings")),
+        card("Suggestions", F.col("suggestions")),
+        F.lit('</ul>\n<p>Scope Score: <b style="color:'), colour, F.lit('">'), score.cast("string"),
+        F.lit("%</b></p>\n<p>"), esc(F.col("summary")), F.lit("</p>\n<h2>File Analysis</h2>\n"),
+        F.when(F.col("any").isNull(), "<p>No issues found.</p>\n").otherwise(""),
+    )
+    foot = F.concat(F.lit(f"<p>{BOT_NAME} &mdash; "), stamp, F.lit("</p>\n</body></html>\n"))
+    frame = reviews.join(with_files, "pr_id", "left").select(
+        "pr_id", F.inline(F.array(piece(0, 0, head), piece(2, 0, foot)))
+    )
+    opened = F.concat(
+        F.lit("<h3>"), esc(T.report_path(F.col("path"))), F.lit(" <small>"),
+        F.format_string("%dE / %dW / %dS", "errors", "warnings", "suggestions"), F.lit("</small></h3>\n<table>\n"),
+    )
+    tables = per_file.select(
+        "pr_id", F.inline(F.array(piece(1, 0, opened, F.col("path")), piece(1, 2, F.lit("</table>\n"), F.col("path"))))
+    )
+    row = F.concat(
+        F.lit('<tr><td style="color:'), T.lookup(F.col("severity"), V.SEVERITY_COLOURS, V.DEFAULT_COLOUR), F.lit('">'),
+        F.col("severity"), F.lit("</td><td>L"), F.col("line_no").cast("string"), F.lit("</td><td>"),
+        esc(F.col("rule_id")), F.lit("</td><td>"), esc(F.col("message")), F.lit("</td></tr>\n"),
+    )
+    rows = shown.select(
         "pr_id", F.lit(1).alias("section"), "path", F.lit(1).alias("kind"),
         *[F.col(c).cast("bigint").alias(c) for c in ("line_no", "rule_ord", "phase", "emit_pos", "emit_sub")],
-        F.concat(
-            F.lit('<tr><td style="color:'), T.lookup(F.col("severity"), V.SEVERITY_COLOURS, V.DEFAULT_COLOUR), F.lit('">'),
-            F.col("severity"), F.lit("</td><td>L"), F.col("line_no").cast("string"), F.lit("</td><td>"),
-            esc(F.col("rule_id")), F.lit("</td><td>"), esc(F.col("message")), F.lit("</td></tr>\n"),
-        ).alias("html"),
-    )
-    closed = found.select(
-        "pr_id", F.lit(1).alias("section"), "path", F.lit(2).alias("kind"), *order, F.lit("</table>\n").alias("html")
-    )
-    foot = reviews.select(
-        "pr_id", F.lit(2).alias("section"), F.lit("").alias("path"), F.lit(0).alias("kind"), *order,
-        F.concat(F.lit(f"<p>{BOT_NAME} &mdash; "), stamp, F.lit("</p>\n</body></html>\n")).alias("html"),
+        row.alias("html"),
     )
-    pieces = head
-    for part in (empty, opened, rows, closed, foot):
-        pieces = pieces.unionByName(part)
-    return pieces
+    return frame.unionByName(tables).unionByName(rows)
 
 
 PIECE_ORDER = ["section", "path", "kind", "line_no", "rule_ord", "phase", "emit_pos", "emit_sub"]
@@ -253,7 +243,7 @@ PIECE_ORDER = ["section", "path", "kind", "line_no", "rule_ord", "phase", "emit_
 
 def html_documents(pieces: DataFrame, max_chars: int = 64_000_000) -> DataFrame:
     """``(pr_id, html)`` of the reports whose whole is at most ``max_chars`` long; larger ones
-    stay pieces (:func:`html_pieces`, sorted by ``PIECE_ORDER``)."""
+    stay pieces (:func:`html_pieces`, sorted by ``PIECE_ORDER``). Pieces are read twice, so stage them."""
     sizes = pieces.groupBy("pr_id").agg(F.sum(F.char_length("html")).alias("chars")).filter(F.col("chars") <= max_chars)
     ordered = F.array_sort(F.collect_list(F.struct(*PIECE_ORDER, "html")))
     return (

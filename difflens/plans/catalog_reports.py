@@ -8,7 +8,7 @@ from ..functions import richtext
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import admission, analytics, counts, files, findings, fixes, linking, report, scope
-from ..sources import corpus, landed, store
+from ..sources import corpus, landed, staging, store
 from . import oracle as O
 from . import presets
 from .catalog import query, ranked, reviewed_lines, seen, staged_findings, staged_lines
@@ -566,9 +566,8 @@ def _html_sql() -> str:
 @query("html_report", _html_sql(), "responses", "seen", extra=DASHBOARD)
 def html_report(spark, sf_dir):
     heads = _heads(spark, sf_dir).select("pr_id", "created_at")
-    return report.html_documents(
-        report.html_pieces(_responses(spark, sf_dir).join(heads, "pr_id"), staged_findings(spark, sf_dir))
-    )
+    pieces = report.html_pieces(_responses(spark, sf_dir).join(heads, "pr_id"), staged_findings(spark, sf_dir))
+    return report.html_documents(staging.stage(pieces, "html_pieces"))
 
 
 SHORT = "CASE WHEN len(string_split(path, '/')) > {n} THEN '.../' || array_to_string(string_split(path, '/')[-{n}:], '/') ELSE path END"

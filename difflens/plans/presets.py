@@ -90,12 +90,13 @@ def dashboard_heads(prs: DataFrame, issues: DataFrame, links: DataFrame) -> Data
 
 
 def store_tables(heads: DataFrame, responses: DataFrame, found: DataFrame, diffs: DataFrame) -> dict[str, DataFrame]:
-    """The three tables of the review store for a batch."""
+    """The three tables of the review store for a batch; the reviews are staged, as all three need them."""
     reviews = store.review_rows(
         responses.join(heads.select("pr_id", "head_sha", "created_at"), "pr_id")
         .join(diffs.select("pr_id", "diff_text"), "pr_id", "left")
         .withColumnRenamed("pr_id", "pr_number")
     )
+    reviews = staging.stage(reviews, "reviews")
     return {
         "reviews": reviews,
         "review_files": store.file_rows(reviews, found),
