@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import richtext
+from ..functions import text as T
 from ..functions import values as V
 from ..operators import diff
 
@@ -93,7 +94,7 @@ def scan_lines(sources: DataFrame) -> DataFrame:
 
 def local_review_lines(diffs: DataFrame, sources: DataFrame) -> DataFrame:
     """Repositories with a diff are reviewed by it, all others by a full scan."""
-    has_diff = diffs.filter(F.length(F.trim("diff_text")) > 0)
+    has_diff = diffs.filter(T.strip(F.col("diff_text")) != "")
     from_diffs = diff.explode_diffs(has_diff, reviewable_only=True)
     from_scan = scan_lines(sources.join(has_diff.select("pr_id"), "pr_id", "left_anti"))
     return from_diffs.unionByName(from_scan.select(*LINE_SCHEMA))
