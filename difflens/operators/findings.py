@@ -77,11 +77,13 @@ def prioritise(findings: DataFrame, limit: int = V.MAX_REVIEW_COMMENTS) -> DataF
 
 def positions(findings: DataFrame, changed_lines: DataFrame) -> DataFrame:
     """Adds ``diff_position`` of the finding's line, NULL when it cannot be commented inline."""
-    last = last_file_per_path(changed_lines)
-    lines = changed_lines.join(last, ["pr_id", "path", "file_idx"], "left_semi").select(
-        "pr_id", "path", "line_no", "diff_position"
+    last = last_file_per_path(changed_lines).withColumnRenamed("file_idx", "seen_idx")
+    lines = changed_lines.select("pr_id", F.col("file_idx").alias("seen_idx"), "line_no", "diff_position")
+    return (
+        findings.join(last, ["pr_id", "path"], "left")
+        .join(lines, ["pr_id", "seen_idx", "line_no"], "left")
+        .drop("seen_idx")
     )
-    return findings.join(lines, ["pr_id", "path", "line_no"], "left")
 
 
 def with_severity(findings: DataFrame, severity: str) -> DataFrame:

@@ -22,20 +22,33 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[a-z]+-\p{Nd}+"), F.lit(0))
 
 
-def _keys_within(run: Column) -> Column:
+def _keys_within(run: Column, max_letters: Column, max_digits: Column) -> Column:
+    """Every key a run of letters, dash and digits contains, up to the lengths keys have."""
     letters = F.substring_index(run, "-", 1)
     digits = F.substring_index(run, "-", -1)
-    tails = F.transform(F.sequence(F.lit(1), F.char_length(letters)), lambda i: F.substring(letters, i, F.char_length(letters)))
-    heads = F.transform(F.sequence(F.lit(1), F.char_length(digits)), lambda i: F.substring(digits, F.lit(1), i))
+    n = F.char_length(letters)
+    tails = F.transform(F.sequence(F.greatest(F.lit(1), n - max_letters + 1), n), lambda i: F.substring(letters, i, n))
+    lengths = F.sequence(F.lit(1), F.least(F.char_length(digits), max_digits))
+    heads = F.transform(lengths, lambda i: F.substring(digits, F.lit(1), i))
     return F.flatten(F.transform(tails, lambda t: F.transform(heads, lambda h: F.concat(t, F.lit("-"), h))))
 
 
-def mentions(prs: DataFrame, whole_keys: bool = False) -> DataFrame:
-    """``(pr_id, key_lower)`` of every issue key a PR can mean. ``whole_keys``: only
-    keys that stand alone, so that ``ab-1`` does not hit ``ab-12``."""
+def mentions(issues: DataFrame, prs: DataFrame, whole_keys: bool = False) -> DataFrame:
+    """``(pr_id, created_at, key_lower)`` of the issue keys a PR can mean. ``whole_keys``:
+    only keys that stand alone, so that ``ab-1`` does not hit ``ab-12``."""
     runs = F.flatten(F.transform(F.array(*[_text_of(c) for c in ("title", "branch", "body")]), _runs))
-    found = F.array_distinct(runs if whole_keys else F.flatten(F.transform(runs, _keys_within)))
-    return prs.select("pr_id", "created_at", F.explode(found).alias("key_lower"))
+    if whole_keys:
+        return prs.select("pr_id", "created_at", F.explode(F.array_distinct(runs)).alias("key_lower"))
+    longest = issues.agg(
+        F.coalesce(F.max(F.char_length(F.substring_index("key", "-", 1))), F.lit(1)).alias("letters"),
+        F.coalesce(F.max(F.char_length(F.substring_index("key", "-", -1))), F.lit(1)).alias("digits"),
+    )
+    sized = prs.select(
+        "pr_id", "created_at", F.explode(F.array_distinct(runs)).alias("run"),
+        longest.select("letters").scalar().alias("max_letters"), longest.select("digits").scalar().alias("max_digits"),
+    )
+    keys = _keys_within(F.col("run"), F.col("max_letters"), F.col("max_digits"))
+    return sized.select("pr_id", "created_at", F.explode(F.array_distinct(keys)).alias("key_lower"))
 
 
 def link_prs(issues: DataFrame, prs: DataFrame, whole_keys: bool = False, newest: int | None = None) -> DataFrame:
@@ -44,7 +57,7 @@ def link_prs(issues: DataFrame, prs: DataFrame, whole_keys: bool = False, newest
     if newest is not None:
         prs = prs.orderBy(F.col("created_at").desc(), F.col("pr_id").desc()).limit(newest)
     # The newest mention per key is found before the join, combined on the map side.
-    best = mentions(prs, whole_keys).groupBy("key_lower").agg(F.max(F.struct("created_at", "pr_id")).alias("pr"))
+    best = mentions(issues, prs, whole_keys).groupBy("key_lower").agg(F.max(F.struct("created_at", "pr_id")).alias("pr"))
     keys = issues.select("key", F.lower("key").alias("key_lower"))
     return keys.join(best, "key_lower").select("key", F.col("pr.pr_id").alias("pr_id"))
 

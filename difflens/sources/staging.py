@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
-_TABLES: dict[tuple, DataFrame] = {}
+_TABLES: dict[tuple, tuple] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,17 +28,22 @@ def folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+def _write(df: DataFrame, name: str, partition_by: tuple) -> str:
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return path
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple = ()) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a scan of it."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name, partition_by))
 
 
 def stage_once(spark: SparkSession, key: tuple, build, partition_by: tuple = ()) -> DataFrame:
     """``stage`` remembered per application and key, for inputs many queries share."""
     full = (spark.sparkContext.applicationId, *key)
     if full not in _TABLES:
-        _TABLES[full] = stage(build(), key[0], partition_by)
-    return _TABLES[full]
+        df = build()
+        _TABLES[full] = (_write(df, key[0], partition_by), df.schema)
+    path, schema = _TABLES[full]
+    return spark.read.schema(schema).parquet(path)
