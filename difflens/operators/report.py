@@ -104,6 +104,35 @@ def markdown_summaries(prs: DataFrame, placed: DataFrame, bot: str = BOT_NAME) -
     )
 
 
+def review_payloads(prs: DataFrame, summaries: DataFrame, conclusions: DataFrame, comments: DataFrame) -> DataFrame:
+    """One review per PR to post: commit, body, event and the inline comments as JSON."""
+    one = F.struct("n", "path", "position", "body")
+    inline = comments.groupBy("pr_id").agg(F.array_sort(F.collect_list(one)).alias("items"))
+    bare = F.to_json(F.transform("items", lambda c: c.dropFields("n")))
+    return (
+        prs.select("pr_id", F.col("head_sha").alias("commit_id"))
+        .join(summaries, "pr_id")
+        .join(conclusions.select("pr_id", "event"), "pr_id")
+        .join(inline, "pr_id", "left")
+        .select("pr_id", "commit_id", "body", "event", F.coalesce(bare, F.lit("[]")).alias("comments"))
+    )
+
+
+def check_payloads(
+    prs: DataFrame, summaries: DataFrame, conclusions: DataFrame, titles: DataFrame, annotated: DataFrame
+) -> DataFrame:
+    """One finished check per PR. ``summaries``: of findings that all count as placed."""
+    return (
+        prs.select("pr_id", "head_sha")
+        .join(conclusions.select("pr_id", "conclusion"), "pr_id")
+        .join(titles, "pr_id")
+        .join(summaries.withColumnRenamed("body", "summary"), "pr_id")
+        .join(annotated, "pr_id", "left")
+        .withColumn("status", F.lit("completed"))
+        .withColumn("annotations", F.coalesce("annotations", F.lit("[]")))
+    )
+
+
 def summary_comments(summaries: DataFrame, ranked: DataFrame) -> DataFrame:
     """Fallback when inline comments are refused: the summary and one bullet per (ranked) finding."""
     bullet = F.concat(
@@ -172,9 +201,10 @@ def response_files(visible: DataFrame, lines_per_part: int = 10_000) -> DataFram
     return grouped.withColumn("issues", bare)
 
 
-def as_json(rows: DataFrame, *keys: str) -> DataFrame:
+def as_json(rows: DataFrame, *keys: str, pretty: bool = False) -> DataFrame:
     """Each row as one JSON document beside its key columns."""
-    return rows.select(*keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
+    return rows.select(*keys, F.to_json(F.struct("*"), options).alias("json"))
 
 
 def html_pieces(reviews: DataFrame, issues: DataFrame) -> DataFrame:

@@ -219,6 +219,30 @@ def summary_comments(spark, sf_dir):
     return report.summary_comments(review_markdown(spark, sf_dir), ranked(spark, sf_dir))
 
 
+@query(
+    "review_payloads",
+    f"""SELECT p.pr_id, head_sha AS commit_id, s.body, CASE WHEN errors > 0 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS event,
+        coalesce(n_comments, 0) AS n_comments FROM prs p JOIN summaries s USING (pr_id) JOIN bot_totals USING (pr_id) LEFT JOIN
+        (SELECT pr_id, least(count(diff_position), {V.MAX_INLINE_COMMENTS}) AS n_comments FROM placed GROUP BY pr_id) USING (pr_id)""",
+    "prs",
+    "summaries",
+    "bot_totals",
+    "placed",
+    extra=MARKDOWN,
+)
+def review_payloads(spark, sf_dir):
+    prs = corpus.prs_from_orders(spark, sf_dir)
+    placed = staging.stage(_placed(spark, sf_dir), "bot_findings")
+    posted = report.review_payloads(
+        prs,
+        report.markdown_summaries(prs, placed),
+        counts.conclusions(counts.per_review_of(prs, placed)),
+        report.inline_comments(placed),
+    )
+    n = F.json_array_length("comments").cast("bigint")
+    return posted.withColumn("n_comments", n).drop("comments")
+
+
 # ------------------------------------------------------------------- scope
 AREAS = scope.scope_map(corpus.DOMAIN)
 

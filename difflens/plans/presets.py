@@ -65,14 +65,23 @@ def bot_review(prs: DataFrame, diffs: DataFrame, bot: str = report.BOT_NAME) ->
     placed = staging.stage(findings.positions(ranked, lines.reviewed), "bot_findings")
     totals = counts.per_review_of(prs, placed)
     summaries = report.markdown_summaries(prs, placed, bot)
+    # The check's summary counts every finding as placed.
+    all_placed = placed.withColumn("diff_position", F.coalesce("diff_position", F.lit(0)))
+    check_summaries = report.markdown_summaries(prs, all_placed, bot)
+    comments = report.inline_comments(placed)
+    conclusions = counts.conclusions(totals)
+    titles = counts.check_titles(totals)
+    annotated = report.annotation_payloads(placed)
     return {
         "findings": placed,
-        "comments": report.inline_comments(placed),
+        "comments": comments,
         "summaries": summaries,
         "fallback": report.summary_comments(summaries, placed),
-        "annotations": report.annotation_payloads(placed),
-        "conclusions": counts.conclusions(totals),
-        "titles": counts.check_titles(totals),
+        "annotations": annotated,
+        "conclusions": conclusions,
+        "titles": titles,
+        "reviews": report.review_payloads(prs, summaries, conclusions, comments),
+        "checks": report.check_payloads(prs, check_summaries, conclusions, titles, annotated),
     }
 
 

@@ -187,6 +187,10 @@ def test_presets(spark, tmp_path):
     assert [r.position for r in bot["comments"].orderBy("n").collect()][0] == 3
     assert '"annotation_level":"failure"' in bot["annotations"].first().annotations
     assert "### Details" in bot["fallback"].first().body
+    posted = {r.pr_id: r for r in bot["reviews"].collect()}
+    assert posted[1].commit_id == "sha1" and posted[1].comments.count('"position"') == 4 and posted[2].comments == "[]"
+    checks = {r.pr_id: r for r in bot["checks"].collect()}
+    assert checks[1].title == "1 error, 2 warnings, 1 suggestion found" and checks[2].conclusion == "success"
 
     base = str(tmp_path / "store")
     dash = presets.dashboard_review(prs, diffs, issues, linking.link_prs(issues, prs), "example.com", base)
