@@ -761,7 +761,7 @@ ADMIT_LIMIT, ADMIT_SECONDS = 3, 86_400
 
 @query(
     "rate_admission",
-    f"""SELECT user_id, sum(len(accepted)) AS accepted, max(n) AS events FROM (SELECT user_id, n,
+    f"""SELECT user_id, CAST(sum(len(accepted)) AS BIGINT) AS accepted, max(n) AS events FROM (SELECT user_id, n,
           list_reduce(list_transform(times, lambda t: [t]), lambda acc, t:
             CASE WHEN len(list_filter(acc, lambda a: a > t[1] - {ADMIT_SECONDS * 1_000_000})) < {ADMIT_LIMIT} THEN list_append(acc, t[1]) ELSE acc END, []::BIGINT[]) AS accepted
           FROM (SELECT user_id, count(*) AS n, list(epoch_us(ts) ORDER BY ts, event_id) AS times FROM events GROUP BY user_id)) GROUP BY user_id""",
