@@ -158,8 +158,8 @@ def diff_line_rows(diffs: DataFrame, chunk_lines: int = DEFAULT_CHUNK_LINES) ->
 
 
 def _number_lines(rows: DataFrame) -> DataFrame:
-    """Running file, line and position counters within each chunk: one sort."""
-    w = Window.partitionBy("pr_id", "chunk").orderBy("ord", F.col("kind") != "S")
+    """Running file, line and position counters within each chunk: one sort, as ``ord`` is unique there."""
+    w = Window.partitionBy("pr_id", "chunk").orderBy("ord")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     k = F.col("kind")
     marker = k.isin("G", "F", "N")
@@ -199,7 +199,7 @@ def _drop_unclosed_files(numbered: DataFrame) -> DataFrame:
     k = F.col("kind")
     marker = k.isin("G", "F", "N")
     kept = numbered.filter((F.col("live") & (k == "A")) | marker | (k == "Z"))
-    back = Window.partitionBy("pr_id", "chunk").orderBy(F.col("ord").desc(), F.col("kind") != "Z")
+    back = Window.partitionBy("pr_id", "chunk").orderBy(F.col("ord").desc())
     seen = back.rowsBetween(Window.unboundedPreceding, -1)
     closing = F.last(F.when(k == "Z", F.col("next_in")).when(marker, k), ignorenulls=True).over(seen)
     return kept.withColumn("closing", closing).filter((k == "A") & F.coalesce(F.col("closing") == "G", F.lit(True)))

@@ -82,9 +82,9 @@ def test_reviewable_files(spark):
     assert got == paths
 
 
-def test_no_shuffle_beyond_two_and_no_python(spark):
+def test_two_shuffles_three_sorts_and_no_python(spark):
     df = spark.createDataFrame([(1, "x")], "pr_id long, diff_text string")
     plan = diff.explode_diffs(df)._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
     )
-    assert plan.count("Exchange hashpartitioning") == 2 and "Python" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 3 and "Python" not in plan
