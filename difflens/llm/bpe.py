@@ -27,7 +27,10 @@ from difflens.llm.common import slices, text_column
 _BLANK = r"\t-\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 _FAR = np.int64(1 << 40)
-_MEMO = 300_000
+_NEVER = 1 << 40
+_SHORT = 48
+#: Words of one generation of the memo; the generation before is kept, so that frequent words stay.
+_MEMO = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,6 +55,7 @@ class Codec:
     proposed: dict[bytes, int]
     special: dict[str, int]
     memo: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -84,9 +88,25 @@ class Codec:
         return codec
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact BPE: the adjacent pair of lowest rank is merged first, the leftmost of equals; pairs wait in a heap."""
+        """Exact BPE: the adjacent pair of lowest rank is merged first, the leftmost of equals.
+
+        A short word's ranks stand in a list, a longer word's pairs wait in a heap.
+        """
         ids = [self.ids[bytes([b])] for b in word]
         n = len(ids)
+        if n <= _SHORT:
+            none = (_NEVER, 0)
+            find = self.merged.get
+            pairs = [find(p, none) for p in zip(ids, ids[1:])]
+            while pairs and (best := min(pairs))[0] < _NEVER:
+                i = pairs.index(best)
+                ids[i : i + 2] = [best[1]]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = find((ids[i - 1], ids[i]), none)
+                if i < len(pairs):
+                    pairs[i] = find((ids[i], ids[i + 1]), none)
+            return ids
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merged.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -166,11 +186,13 @@ class Codec:
                 at = m.end()
             words.append(own + _WORD.findall(text[at:]) if at else _WORD.findall(text))
         if len(self.memo) > _MEMO:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         if not self.memo:
             self.memo.update({s: np.array([i], dtype=np.int32).tobytes() for s, i in self.special.items()})
-        new = list({w for own in words for w in own} - self.memo.keys())
-        if new:
+        new = set().union(*words) - self.memo.keys()
+        if known := new & self.older.keys():
+            self.memo.update((w, self.older[w]) for w in known)
+        if new := list(new - known):
             self.learn(new)
         return [b"".join(map(self.memo.__getitem__, own)) for own in words]
 
