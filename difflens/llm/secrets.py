@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from difflens.llm.common import slices, text_column
+from difflens.llm.common import slices, staged, text_column
 from difflens.llm.terms import document_counts
 
 #: Kinds of fixed forms in the order of their listing; the added kind comes last.
@@ -108,9 +108,22 @@ def guessed(text: str, ranks: dict[str, int], longest: int, least: float) -> lis
 
 
 def dictionary(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
-    """Ranks of the ``size`` words of three letters or more that occur in most documents; ties by the word."""
+    """Ranks of the words of three letters or more that occur in most documents: all words of the highest counts, as
+    many counts as give at most ``size`` words; ties by the word."""
     words = document_counts(docs).filter((F.length("term") >= 3) & (F.length("term") <= 24) & (F.col("n") > 1))
-    return {r.term: i + 1 for i, r in enumerate(words.orderBy(F.desc("n"), "term").limit(size).collect())}
+    words = staged(words, "words")
+    # The counts, in steps of a hundredth, say from which count on to take words; no task sends more than it has of these.
+    level = F.floor(F.log("n") * 100)
+    taken, least = 0, None
+    for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        taken += r.words
+        if taken > size:
+            break
+        least = r.level
+    if least is None:
+        return {}
+    top = words.filter(level >= least).collect()
+    return {r.term: i + 1 for i, r in enumerate(sorted(top, key=lambda r: (-r.n, r.term)))}
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
