@@ -30,7 +30,7 @@ _FAR = np.int64(1 << 40)
 _NEVER = 1 << 40
 _SHORT = 48
 #: Words of one generation of the memo; the generation before is kept, so that frequent words stay.
-_MEMO = 400_000
+_MEMO = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -208,6 +208,17 @@ class Codec:
         return [data[s:e].decode("utf-8", "replace") for s, e in zip(cuts, cuts[1:])]
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``decode(encode(docs, path), path)`` in one pass of Python: ``docs`` without ``text``, with ``ids`` and ``decoded``."""
+    kept = docs.select(*[c for c in docs.columns if c not in ("text", "ids", "decoded")], "text")
+    schema = T.StructType([*kept.drop("text").schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return kept.mapInArrow(partial(_round_trip_batches, shared=_shared(docs.sparkSession, path)), schema)
+
+
+def _round_trip_batches(batches, shared):
+    return _decode_batches(_encode_batches(batches, shared), shared)
+
+
 _LOADED: dict[str, Codec] = {}
 
 

@@ -125,7 +125,7 @@ def train(docs: DataFrame, per_lang: int = 1000, grams: int = 20_000, share: flo
 
 def _count_batches(batches):
     for whole in batches:
-        for batch in slices(whole, 1 << 20):
+        for batch in slices(whole, 1 << 18):
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             hashes, owner, _ = gram_hashes(text_column(batch).to_pylist())
             for lang in sorted(set(langs)):
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def _predict_batches(batches, shared):
     model = shared.value
     for whole in batches:
-        for batch in slices(whole, 1 << 20):
+        for batch in slices(whole, 1 << 18):
             names, scores = classify(text_column(batch).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

@@ -24,9 +24,9 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    tokens = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
-    return bpe.decode(tokens, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
