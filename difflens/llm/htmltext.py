@@ -179,10 +179,10 @@ def labels(page: list[Block]) -> list[bool]:
             continue
         if page[i].heading and i not in decided and after is not None:
             out[i] = decided[after] == GOOD
-        else:  # the nearer one; main text if both are as near and disagree inside an article
+        else:  # the nearer one; if both are as near and disagree, main text keeps articles' blocks and whole sentences
             best = min(abs(j - i) for j in near)
             said = [decided[j] == GOOD for j in near if abs(j - i) == best]
-            out[i] = any(said) if page[i].article else all(said)
+            out[i] = any(said) if page[i].article or page[i].text[-1] in ".!?…\"”»" else all(said)
     return out
 
 

@@ -71,9 +71,10 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 
 def linked(fps: DataFrame, max_bits: int = 3, root_size: int = 1024) -> DataFrame:
-    """Spanning links (a, b) between the distinct values of ``fps.fp`` that are at most ``max_bits`` bits apart.
+    """Pairs (a, b) of distinct values of ``fps.fp`` that reach each other over links of at most ``max_bits`` bits.
 
-    Every component of the full link graph is connected by the links returned. Roots of more than about ``root_size``
+    A root gives each value once, with the first value of its component there: the pairs connect exactly what the full
+    link graph connects. Roots of more than about ``root_size``
     fingerprints are split into pairs of subtries; this moves work to more tasks and changes no result.
     """
     blocks = max_bits + 1
