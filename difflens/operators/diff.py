@@ -41,7 +41,8 @@ def _hunk_base(line: Column) -> Column:
     after_plus = F.split_part(line, F.lit("+"), F.lit(2))
     start = F.split_part(F.split_part(after_plus, F.lit("@@"), F.lit(1)), F.lit(","), F.lit(1))
     number = F.trim(start).try_cast("bigint")
-    return F.when(F.abs(number) < 10**15, number - 1).otherwise(F.lit(0).cast("bigint"))
+    # Room is left for counting on from the number.
+    return F.when(number.between(-9 * 10**18, 9 * 10**18), number - 1).otherwise(F.lit(0).cast("bigint"))
 
 
 def _chunk_states(lines: Column, n: int) -> Column:

@@ -73,5 +73,6 @@ def valid_issue_key(key: Column) -> Column:
 
 def triggered_prs(prs: DataFrame, changed_paths: DataFrame) -> DataFrame:
     """PR events that start a review: not a draft, a relevant action and a relevant path."""
-    relevant = changed_paths.filter(F.rlike("path", F.lit(suffix_regex(V.TRIGGER_SUFFIXES)))).select("pr_id")
-    return prs.filter(F.col("action").isin(V.TRIGGER_ACTIONS) & ~F.col("draft")).join(relevant, "pr_id", "left_semi")
+    relevant = changed_paths.filter(F.rlike("path", F.lit(suffix_regex(V.TRIGGER_SUFFIXES)))).select("pr_id").distinct()
+    ready = ~F.coalesce(F.col("draft"), F.lit(False))
+    return prs.filter(F.col("action").isin(V.TRIGGER_ACTIONS) & ready).join(relevant, "pr_id", "left_semi")

@@ -271,13 +271,8 @@ def html_pieces(reviews: DataFrame, issues: DataFrame) -> DataFrame:
 PIECE_ORDER = ["section", "path", "kind", "line_no", "rule_ord", "phase", "emit_pos", "emit_sub"]
 
 
-def html_documents(pieces: DataFrame, max_chars: int = 64_000_000) -> DataFrame:
-    """``(pr_id, html)`` of the reports whose whole is at most ``max_chars`` long; larger ones
-    stay pieces (:func:`html_pieces`, sorted by ``PIECE_ORDER``). Pieces are read twice, so stage them."""
-    sizes = pieces.groupBy("pr_id").agg(F.sum(F.char_length("html")).alias("chars")).filter(F.col("chars") <= max_chars)
+def html_documents(pieces: DataFrame) -> DataFrame:
+    """``(pr_id, html)`` of every report. A report too long for one row is read as its pieces
+    (:func:`html_pieces`, sorted by ``PIECE_ORDER``)."""
     ordered = F.array_sort(F.collect_list(F.struct(*PIECE_ORDER, "html")))
-    return (
-        pieces.join(sizes.select("pr_id"), "pr_id", "left_semi")
-        .groupBy("pr_id")
-        .agg(F.array_join(F.transform(ordered, lambda p: p["html"]), "").alias("html"))
-    )
+    return pieces.groupBy("pr_id").agg(F.array_join(F.transform(ordered, lambda p: p["html"]), "").alias("html"))

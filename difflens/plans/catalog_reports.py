@@ -598,7 +598,7 @@ def _html_sql() -> str:
 def html_report(spark, sf_dir):
     heads = _heads(spark, sf_dir).select("pr_id", "created_at")
     pieces = report.html_pieces(_responses(spark, sf_dir).join(heads, "pr_id"), staged_findings(spark, sf_dir))
-    return report.html_documents(staging.stage(pieces, "html_pieces"))
+    return report.html_documents(pieces)
 
 
 SHORT = "CASE WHEN len(string_split(path, '/')) > {n} THEN '.../' || array_to_string(string_split(path, '/')[-{n}:], '/') ELSE path END"

@@ -121,8 +121,9 @@ def parse_issues(docs: DataFrame, column: str = "doc") -> DataFrame:
     f = "j.fields."
     d = V.ISSUE_DEFAULTS
     description = F.get_json_object("doc", "$.fields.description")
-    # A plain string loses its quotes here; an object stays JSON.
-    text = F.when(F.startswith(F.ltrim(description), F.lit("{")), richtext.rich_text(description)).otherwise(
+    # A plain string loses its quotes here, whatever it begins with; an object stays JSON. The JSON type tells them apart.
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("doc"), "$.fields.description", "variant"))
+    text = F.when(F.startswith(kind, F.lit("OBJECT")), richtext.rich_text(description)).otherwise(
         F.coalesce(description, F.lit(""))
     )
     return parsed.select(

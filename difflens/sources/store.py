@@ -91,7 +91,8 @@ def write(base: str, reviews: DataFrame, review_files: DataFrame, review_issues:
 
 
 def read(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{base}/{name}") for name in TABLES}
+    """The tables, each row once: a write that was repeated has left equal rows."""
+    return {name: spark.read.parquet(f"{base}/{name}").dropDuplicates() for name in TABLES}
 
 
 def history(reviews: DataFrame, limit: int = V.HISTORY_ROWS) -> DataFrame:

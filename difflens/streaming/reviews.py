@@ -27,7 +27,7 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> D
 def admitted_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Events that start a review, each PR state once."""
     return (
-        events.filter(F.col("action").isin(V.TRIGGER_ACTIONS) & ~F.col("draft"))
+        events.filter(F.col("action").isin(V.TRIGGER_ACTIONS) & ~F.coalesce(F.col("draft"), F.lit(False)))
         .withWatermark("event_time", delay)
         .dropDuplicatesWithinWatermark(["pr_id", "head_sha"])
     )

@@ -89,3 +89,20 @@ def test_issue_and_pr_documents(spark):
     got = {r.pr_id: r for r in landed.parse_prs(spark.createDataFrame([(json.dumps(p),) for p in prs], "doc string")).collect()}
     assert (got[3].title, got[3].branch, got[3].body, got[3].draft) == ("", "b", "", False)
     assert (got[4].action, got[4].draft) == ("opened", True)
+
+
+def test_description_is_told_apart_by_its_json_type(spark):
+    texts = ["{code}\nselect 1\n{code} payment broken", '{"not": "closed', "[…]", "", " plain"]
+    docs = [json.dumps({"key": f"AB-{i}", "fields": {"description": t}}) for i, t in enumerate(texts)]
+    docs.append(json.dumps({"key": "AB-9", "fields": {"description": None}}))
+    rows = {r.key: r.description for r in landed.parse_issues(spark.createDataFrame([(d,) for d in docs], "doc string")).collect()}
+    assert [rows[f"AB-{i}"] for i in range(len(texts))] == texts and rows["AB-9"] == ""
+
+
+def test_an_event_without_draft_flag_triggers(spark):
+    from difflens.functions import values as V
+    from difflens.operators.files import triggered_prs
+
+    prs = spark.createDataFrame([(1, V.TRIGGER_ACTIONS[0], None), (2, V.TRIGGER_ACTIONS[0], False), (3, V.TRIGGER_ACTIONS[0], True)], "pr_id long, action string, draft boolean")
+    paths = spark.createDataFrame([(i, f"x{V.TRIGGER_SUFFIXES[0]}") for i in (1, 1, 2, 3)], "pr_id long, path string")
+    assert sorted(r.pr_id for r in triggered_prs(prs, paths).collect()) == [1, 2]
