@@ -45,9 +45,10 @@ class Model:
 
 
 def letters() -> np.ndarray:
-    """For each code point, whether it is a letter or a mark that belongs to one."""
+    """For each code point: 2 for a letter, 1 for a mark that may belong to one, 0 for anything else."""
     if not _LETTERS:
-        _LETTERS.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)]))
+        kinds = {"L": 2, "M": 1}
+        _LETTERS.append(np.array([kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], dtype=np.uint8))
     return _LETTERS[0]
 
 
@@ -58,9 +59,10 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     sizes = np.fromiter(map(len, low := [t.lower() for t in texts]), dtype=np.int64, count=len(texts))
     code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    is_letter = letters()[code]
+    kind = letters()[code]
+    is_letter = kind > 0
     owner = np.repeat(np.arange(len(texts)), sizes)
-    n_letters = np.bincount(owner[is_letter], minlength=len(texts))
+    n_letters = np.bincount(owner[kind == 2], minlength=len(texts))
     # A blank before each run of letters and one after it.
     first = is_letter.copy()
     first[1:] &= ~is_letter[:-1] | (owner[1:] != owner[:-1])
