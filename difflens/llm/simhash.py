@@ -99,7 +99,8 @@ def linked(fps: DataFrame, max_bits: int = 3, root_size: int = 1024) -> DataFram
     large = large.select("fp", "block", "root", "turned", "levels", (F.least("head", "other") * 65536 + F.greatest("head", "other")).alias("pair"), F.when(F.col("head") == F.col("other"), 0).when(F.col("head") < F.col("other"), 1).otherwise(2).alias("side"))
     pieces = small.select("block", "root", "pair", "side", "fp").unionByName(large.select("block", "root", "pair", "side", "fp"))
     # One sorted stream per task; a task holds the roots of one batch at a time.
-    pieces = pieces.repartition("block", "root", "pair").sortWithinPartitions("block", "root", "pair", "side", "fp")
+    # The trie takes values in unsigned order, so negative longs come last.
+    pieces = pieces.repartition("block", "root", "pair").sortWithinPartitions("block", "root", "pair", "side", F.col("fp") < 0, "fp")
     return pieces.mapInArrow(partial(_join_roots, max_bits=max_bits), "a long, b long").distinct()
 
 
@@ -114,9 +115,17 @@ def _turned(fp: Column, low: int, n: int) -> Column:
 
 
 def _join_roots(batches, max_bits):
+    for rows in whole_roots(batches):
+        values = rows[4].view(np.uint64)
+        child, root = trie_links(values, root_nodes(rows), max_bits)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[4, child]), pa.array(rows[4, root])], ["a", "b"])
+
+
+def whole_roots(batches):
+    """The rows of sorted batches as columns of integers, cut between roots only."""
     held = None
     for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("block", "root", "pair", "side", "fp")])
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
         if not rows.shape[1]:
             continue
         rows = rows if held is None else np.concatenate([held, rows], axis=1)
@@ -124,28 +133,32 @@ def _join_roots(batches, max_bits):
         last = int(np.argmax((rows[:3] == rows[:3, -1:]).all(axis=0)))
         held = rows[:, last:]
         if last:
-            yield _links_batch(rows[:, :last], max_bits)
+            yield rows[:, :last]
     if held is not None:
-        yield _links_batch(held, max_bits)
+        yield held
 
 
-def _links_batch(rows, max_bits):
-    values = rows[4].view(np.uint64)
+def root_nodes(rows: np.ndarray) -> np.ndarray:
+    """The pairs of nodes with which the walk of each root begins; rows: block, root, pair, side, value, …"""
+    n = rows.shape[1]
     change = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
     lo = np.concatenate([[0], np.flatnonzero(change) + 1])
-    hi = np.concatenate([lo[1:], [len(values)]])
+    hi = np.concatenate([lo[1:], [n]])
     # Side 0: a root joined with itself. Sides 1 and 2: two subtries of a root.
     split = lo + np.add.reduceat((rows[3] == 1).astype(np.int64), lo)
     own = rows[3, lo] == 0
     nodes = np.stack([lo, np.where(own, hi, split), np.where(own, lo, split), hi, np.zeros(len(lo), dtype=np.int64)], axis=1)
-    a, b = trie_links(values, nodes[(nodes[:, 1] > nodes[:, 0]) & (nodes[:, 3] > nodes[:, 2])], max_bits)
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    return nodes[(nodes[:, 1] > nodes[:, 0]) & (nodes[:, 3] > nodes[:, 2])]
+
 
+def _any(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.ones(len(i), dtype=bool)
 
-def trie_links(values: np.ndarray, nodes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+
+def trie_links(values: np.ndarray, nodes: np.ndarray, max_bits: int, accept=_any) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of values at most ``max_bits`` bits apart, between the two nodes of any of the pairs ``nodes``.
 
-    A node is a range of ``values`` that is sorted; a pair is (from, to, from, to, bits that differ so far). The walk
+    The links are positions in ``values``; ``accept`` may reject pairs of positions. A node is a range of ``values`` that is sorted; a pair is (from, to, from, to, bits that differ so far). The walk
     goes down bit by bit with all pairs that are alive; pairs of few values are compared outright.
     """
     parent = np.arange(len(values))
@@ -153,6 +166,7 @@ def trie_links(values: np.ndarray, nodes: np.ndarray, max_bits: int) -> tuple[np
     for lo, hi in own[:, :2].tolist():
         # Neighbours in order are cheap to test and join most of a dense root at once.
         near = lo + np.flatnonzero(np.bitwise_count(values[lo + 1 : hi] ^ values[lo : hi - 1]) <= max_bits)
+        near = near[accept(near, near + 1)]
         _union(parent, near, near + 1)
     ones: dict[int, np.ndarray] = {}
     stack = [(0, nodes)]
@@ -164,7 +178,7 @@ def trie_links(values: np.ndarray, nodes: np.ndarray, max_bits: int) -> tuple[np
         nodes = _unsettled(nodes, parent)
         small = ((nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2]) <= 256) | (bit == 64)
         if small.any():
-            _compare(values, nodes[small], parent, max_bits)
+            _compare(values, nodes[small], parent, max_bits, accept)
         nodes = nodes[~small]
         if not len(nodes):
             continue
@@ -183,7 +197,7 @@ def trie_links(values: np.ndarray, nodes: np.ndarray, max_bits: int) -> tuple[np
         stack.append((bit + 1, new[(new[:, 1] > new[:, 0]) & (new[:, 3] > new[:, 2]) & (new[:, 4] <= max_bits)]))
     root = _roots(parent)
     child = np.flatnonzero(root != np.arange(len(values)))
-    return values[child], values[root[child]]
+    return child, root[child]
 
 
 def _unsettled(nodes, parent):
@@ -194,13 +208,14 @@ def _unsettled(nodes, parent):
     return nodes[~(flat & (root[nodes[:, 0]] == root[nodes[:, 2]]))]
 
 
-def _compare(values, nodes, parent, max_bits):
+def _compare(values, nodes, parent, max_bits, accept):
     a0, a1, b0, b1, _ = nodes.T
     n, m = a1 - a0, b1 - b0
     k = np.arange(int((n * m).sum())) - np.repeat(np.cumsum(n * m) - n * m, n * m)
     mm = np.repeat(m, n * m)
     i, j = np.repeat(a0, n * m) + k // mm, np.repeat(b0, n * m) + k % mm
     near = np.flatnonzero((np.bitwise_count(values[i] ^ values[j]) <= max_bits) & (i != j))
+    near = near[accept(i[near], j[near])]
     _union(parent, i[near], j[near])
 
 
@@ -237,9 +252,3 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> Dat
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = staged(named.join(lows, "root").select("fp", "component_id"), "classes")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> DataFrame:
-    """``docs`` without the documents of a component other than that with the smallest doc_id."""
-    kept = near_duplicates(docs, max_bits, shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
