@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from difflens.llm import ann, bpe, decontaminate, htmltext, langid, pii, secrets, sharding, simhash, substring
+from difflens.llm import ann, bpe, decontaminate, htmltext, langid, nearcopies, pii, secrets, sharding, simhash, substring
 from difflens.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, key long, n string, words int"
@@ -88,6 +88,60 @@ def test_simhash_links_connect_as_all_pairs_do(spark, root_size):
     assert groups(map(tuple, links)) == groups(every)
 
 
+@pytest.mark.parametrize("root_size", [2, 1024])
+def test_near_copies_connect_as_all_pairs_do(spark, root_size):
+    rng = random.Random(root_size)
+    base = [rng.getrandbits(192) for _ in range(12)]
+    values = sorted({rng.choice(base) ^ sum(1 << rng.randrange(192) for _ in range(rng.randrange(30))) % 2**192 for _ in range(250)})
+    parent = list(range(len(values)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    def groups(pairs):
+        parent[:] = range(len(values))
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return [find(i) for i in range(len(values))]
+
+    low = 2**64 - 1
+    differ = lambda i, j: values[i] ^ values[j]
+    every = [(i, j) for i in range(len(values)) for j in range(i) if (differ(i, j) & low).bit_count() <= 11 and (differ(i, j) >> 64).bit_count() <= 23]
+    rows = [(i, *((v >> s & low) - ((v >> s & low) >> 63 << 64) for s in (0, 64, 128))) for i, v in enumerate(values)]
+    links = nearcopies.linked(spark.createDataFrame(rows, "node long, fp long, v0 long, v1 long"), root_size=root_size).collect()
+    assert groups(map(tuple, links)) == groups(every) and len(set(groups(every))) < len(values)
+
+
+def test_near_copies_keep_one(spark, docs, empty):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    first, other = words(400), words(400)
+    near = first[:100] + ["changed"] + first[101:300] + ["Too"] + first[301:]
+    half = first[:200] + words(200)
+    texts = [" ".join(x) for x in (first, other, near, half, first)] + [None, "", "one", "two", "ONE"]
+    rows = [(i, t, "x", 7, None, 3) for i, t in enumerate(texts)] + [(None, texts[0], "x", 7, None, 3), (2, "w1 w2 w3 w4 w5 w6 w7", "x", 7, None, 3)]
+    kept = nearcopies.keep_one(spark.createDataFrame(rows, SCHEMA))
+    # A row without an id stays, and so does a doc_id with one text that is no copy.
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, 1, 2, 2, 3, 5, 7, 8, None], key=str)
+    assert kept.columns == docs.columns and nearcopies.keep_one(empty).count() == 0
+
+
+def test_trie_takes_values_of_either_sign(spark):
+    rng = random.Random(4)
+    near = {0x7FFF000000001234 ^ 1 << 63 * (i % 3 == 0) ^ sum(1 << b for b in rng.sample(range(16, 64), 4)) for i in range(300)}
+    values = [v - 2**64 if v >= 2**63 else v for v in sorted(near)]
+    links = simhash.linked(spark.createDataFrame([(v,) for v in values], "fp long"), 3).collect()
+    root = {v: v for v in values}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in map(tuple, links):
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a in values for b in values if a < b and ((a ^ b) % 2**64).bit_count() <= 3)
+
+
 def test_substring(docs, empty):
     rows = docs.collect()
     words = [(r.doc_id, WORD.findall(r.text or "")) for r in rows]
