@@ -162,12 +162,14 @@ def trie_links(values: np.ndarray, nodes: np.ndarray, max_bits: int, accept=_any
     goes down bit by bit with all pairs that are alive; pairs of few values are compared outright.
     """
     parent = np.arange(len(values))
-    own = nodes[(nodes[:, 0] == nodes[:, 2]) & (nodes[:, 1] - nodes[:, 0] > 16)]
-    for lo, hi in own[:, :2].tolist():
-        # Neighbours in order are cheap to test and join most of a dense root at once.
-        near = lo + np.flatnonzero(np.bitwise_count(values[lo + 1 : hi] ^ values[lo : hi - 1]) <= max_bits)
-        near = near[accept(near, near + 1)]
-        _union(parent, near, near + 1)
+    own = nodes[nodes[:, 0] == nodes[:, 2]]
+    # Neighbours in order are cheap to test and join most of a dense root at once.
+    within = np.zeros(len(values) + 1, dtype=np.int64)
+    within[own[:, 0]] += 1
+    within[own[:, 1] - 1] -= 1
+    near = np.flatnonzero((np.cumsum(within)[: len(values) - 1] > 0) & (np.bitwise_count(values[1:] ^ values[:-1]) <= max_bits))
+    near = near[accept(near, near + 1)]
+    _union(parent, near, near + 1)
     ones: dict[int, np.ndarray] = {}
     stack = [(0, nodes)]
     while stack:
@@ -214,21 +216,22 @@ def _compare(values, nodes, parent, max_bits, accept):
     k = np.arange(int((n * m).sum())) - np.repeat(np.cumsum(n * m) - n * m, n * m)
     mm = np.repeat(m, n * m)
     i, j = np.repeat(a0, n * m) + k // mm, np.repeat(b0, n * m) + k % mm
-    near = np.flatnonzero((np.bitwise_count(values[i] ^ values[j]) <= max_bits) & (i != j))
+    root = _roots(parent)
+    apart = root[i] != root[j]
+    i, j = i[apart], j[apart]
+    near = np.flatnonzero(np.bitwise_count(values[i] ^ values[j]) <= max_bits)
     near = near[accept(i[near], j[near])]
     _union(parent, i[near], j[near])
 
 
 def _union(parent, a, b):
-    for x, y in zip(a.tolist(), b.tolist()):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
+    """Joins the components of ``a`` and ``b``, pair by pair; every root hangs below the smallest root it is paired with."""
+    while len(a):
+        root = _roots(parent)
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
 def _roots(parent):
