@@ -91,8 +91,8 @@ def test_simhash_links_connect_as_all_pairs_do(spark, root_size):
 @pytest.mark.parametrize("root_size", [2, 1024])
 def test_near_copies_connect_as_all_pairs_do(spark, root_size):
     rng = random.Random(root_size)
-    base = [rng.getrandbits(192) for _ in range(12)]
-    values = sorted({rng.choice(base) ^ sum(1 << rng.randrange(192) for _ in range(rng.randrange(30))) % 2**192 for _ in range(250)})
+    base = [rng.getrandbits(320) for _ in range(12)]
+    values = sorted({rng.choice(base) ^ sum(1 << rng.randrange(320) for _ in range(rng.randrange(50))) % 2**320 for _ in range(250)})
     parent = list(range(len(values)))
 
     def find(x):
@@ -107,9 +107,9 @@ def test_near_copies_connect_as_all_pairs_do(spark, root_size):
 
     low = 2**64 - 1
     differ = lambda i, j: values[i] ^ values[j]
-    every = [(i, j) for i in range(len(values)) for j in range(i) if (differ(i, j) & low).bit_count() <= 11 and (differ(i, j) >> 64).bit_count() <= 23]
-    rows = [(i, *((v >> s & low) - ((v >> s & low) >> 63 << 64) for s in (0, 64, 128))) for i, v in enumerate(values)]
-    links = nearcopies.linked(spark.createDataFrame(rows, "node long, fp long, v0 long, v1 long"), root_size=root_size).collect()
+    every = [(i, j) for i in range(len(values)) for j in range(i) if (differ(i, j) & low).bit_count() <= 11 and (differ(i, j) >> 64).bit_count() <= 48]
+    rows = [(i, *((v >> s & low) - ((v >> s & low) >> 63 << 64) for s in range(0, 320, 64))) for i, v in enumerate(values)]
+    links = nearcopies.linked(spark.createDataFrame(rows, "node long, fp long, v0 long, v1 long, v2 long, v3 long"), root_size=root_size).collect()
     assert groups(map(tuple, links)) == groups(every) and len(set(groups(every))) < len(values)
 
 
