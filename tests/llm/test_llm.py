@@ -318,3 +318,35 @@ def test_nearest(spark, block):
         mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
         assert [i for _, i, _ in mine] == want and np.allclose([s for *_, s in mine], score[want], rtol=1e-13)
     assert len(got) == 80 and ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def _five(text):
+    w = WORD.findall((text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_copies_are_those_of_the_exact_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(nearcopies, "_BLOCK_TEXTS", block)
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        # A passage is exchanged, so that pairs lie around the threshold: (n - k) / (n + k) of n shingles.
+        base = words(204)
+        texts += [base, *(base[:60] + words(n) + base[60 + n :] for n in (16, 17, 18, 19, 20, 21, 28, 40))]
+    texts = [" ".join(t) for t in texts]
+    sets, root = [_five(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i - i % 9, i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                near += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.component_id for r in nearcopies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and 0 < near < 40 * 36
