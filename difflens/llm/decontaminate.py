@@ -97,7 +97,7 @@ def bitmap(hashes: DataFrame, least: int = 16, most: int = 27) -> np.ndarray:
     return out
 
 
-def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     h = h & np.uint64(64 * len(bits) - 1)
     return (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) != 0
 
@@ -132,12 +132,12 @@ def _hit_batches(batches, shared, widths):
                 candidate = np.zeros(batch.num_rows, dtype=bool)
                 found = [(k, *words.windows(hashes, k)) for k in widths]
                 for _, at, h in found:
-                    candidate[doc[at[_in(sketch, h)]]] = True
+                    candidate[doc[at[in_bitmap(sketch, h)]]] = True
                 names = batch.column("doc_id").to_pylist()
                 for k, at, h in found if candidate.any() else ():
                     keep = candidate[doc[at]]
                     at, h = at[keep], h[keep]
-                    keep = _in(every, h)
+                    keep = in_bitmap(every, h)
                     at, h = at[keep], h[keep]
                     _, once = np.unique(np.stack([doc[at].astype(np.uint64), h]), axis=1, return_index=True)
                     for i in at[once].tolist():

@@ -1,28 +1,31 @@
 """Personal data and the terms that give it away: information-theoretic sanitisation.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The words around a base span are terms
-that may reveal it. How strongly a term reveals an entity is estimated on the whole corpus: the pointwise mutual
-information of both, over the information content of the entity,
+Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. All other words of a text that holds one
+are terms that may reveal it. How strongly a term reveals an entity is estimated on the whole corpus: the pointwise
+mutual information of both, over the information content of the entity,
 
     log(N * n(entity, term) / (n(entity) * n(term))) / log(N / n(entity)),
 
-all counts being numbers of documents. 1 means that the term identifies the entity. Terms from ``generalise`` on are
-replaced by their form, terms from ``remove`` on are removed. A pair seen in fewer than ``support`` documents is no
-evidence.
+all counts being numbers of different texts. 1 means that the term identifies the entity. A pair that one text alone
+shows is weak evidence: for it the share n(entity, term) / n(entity) is estimated as if the entity stood in ``prior``
+more texts in which the term is as frequent as elsewhere. So an entity of a single text is revealed by words that
+(nearly) no other text has. Terms from ``generalise`` on are replaced by their form, terms from ``remove`` on are
+removed, wherever they stand in a text that holds the entity.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from difflens.llm.common import slices, staged, text_column
+from difflens.llm.decontaminate import bitmap, in_bitmap
 from difflens.llm.terms import EDGES, document_counts
 
 #: Kinds of base spans in the order of their listing; the added kind comes last.
@@ -98,28 +101,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def nearby(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the words up to ``reach`` words away from a base span, base spans left out."""
+def words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) for the words of a text outside of its base spans."""
     covered = bytearray(len(text))
     for start, _, end in spans:
         covered[start:end] = b"\1" * (end - start)
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    starts, ends = [s for s, _ in tokens], [e for _, e in tokens]
     out = []
-    for start, kind, end in spans:
-        entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-        before, after = bisect_right(ends, start), bisect_left(starts, end)
-        for s, e in tokens[max(0, before - reach) : before] + tokens[after : after + reach]:
-            token = text[s:e]
-            if 1 not in covered[s:e] and (word := token.strip(EDGES)):
-                s += len(token) - len(token.lstrip(EDGES))
-                out.append((entity, word.lower(), s, s + len(word)))
+    for m in _TOKEN.finditer(text):
+        s, e = m.span()
+        token = m.group()
+        if covered.find(1, s, e) < 0 and (word := token.strip(EDGES)):
+            s += len(token) - len(token.lstrip(EDGES))
+            out.append((word.lower(), s, s + len(word)))
     return out
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
-_NEAR = "struct<entity:string,term:string,start:int,end:int>"
-_FOUND = f"key long, doc_id long, spans array<{_SPAN}>, near array<{_NEAR}>"
+_WORD = "struct<term:string,start:int,end:int>"
+_FOUND = f"key long, same long, doc_id long, spans array<{_SPAN}>, entities array<string>, words array<{_WORD}>"
 
 
 def _key() -> Column:
@@ -127,46 +126,83 @@ def _key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
 
 
-def find(docs: DataFrame, reach: int = 5) -> DataFrame:
-    """(key, doc_id, spans, near) for each row: base spans, and the words around them with what they are near to."""
-    return docs.select(_key().alias("key"), "doc_id", "text").mapInArrow(partial(_find_batches, reach=reach), _FOUND)
+def _same() -> Column:
+    """Is the same for copies of a text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _find_batches(batches, reach):
-    types = {"spans": pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), "near": pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))}
+def find(docs: DataFrame) -> DataFrame:
+    """(key, same, doc_id, spans, entities, words) for each row: base spans, what they name, and the other words of a text that has some."""
+    return docs.select(_key().alias("key"), _same().alias("same"), "doc_id", "text").mapInArrow(_find_batches, _FOUND)
+
+
+def _find_batches(batches):
+    types = {"spans": pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), "words": pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))}
     for whole in batches:
         for batch in slices(whole):
-            spans, near = [], []
+            spans, entities, other = [], [], []
             for text in text_column(batch).to_pylist():
                 found = base_spans(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-                near.append([{"entity": n, "term": t, "start": s, "end": e} for n, t, s, e in nearby(text, found, reach)] if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id").cast(pa.int64()), pa.array(spans, types["spans"]), pa.array(near, types["near"])], ["key", "doc_id", "spans", "near"])
-
-
-def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
-    """(key, start, end, gone): the words of ``found`` that disclose an entity near them, and whether they are to go."""
-    total = F.lit(float(docs.count()))
-    near = found.select("key", "doc_id", F.explode("near").alias("n")).select("key", "doc_id", "n.*")
-    pairs = near.select("entity", "term", "key").distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    entities = pairs.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    joint = joint.join(entities, "entity").join(document_counts(docs).withColumnRenamed("n", "n_term"), "term")
-    gain = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(total / F.col("n_entity"))
+                entities.append(sorted({f"{KINDS[k]}:{text[s:e].lower()}" for s, k, e in found}))
+                other.append([{"term": t, "start": s, "end": e} for t, s, e in words(text, found)] if found else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("same"), batch.column("doc_id").cast(pa.int64()), pa.array(spans, types["spans"]), pa.array(entities, pa.list_(pa.string())), pa.array(other, types["words"])],
+                ["key", "same", "doc_id", "spans", "entities", "words"],
+            )
+
+
+def text_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, n): the number of different texts with the word.
+
+    Texts without a copy are counted where they are. Only texts whose hash falls into the bitmap of those with copies
+    are brought together, so that one of each is counted.
+    """
+    copies = found.groupBy("same").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("same").alias("hash"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(copies))
+    marked = docs.select(_same().alias("same"), F.coalesce("text", F.lit("")).alias("text"))
+    alone, dealt = (marked.mapInArrow(partial(_choose_batches, shared=shared, copied=c), marked.schema) for c in (False, True))
+    one = dealt.groupBy("same").agg(F.first("text").alias("text"))
+    return document_counts(alone).unionByName(document_counts(one)).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _choose_batches(batches, shared, copied):
+    for batch in batches:
+        chosen = in_bitmap(shared.value, batch.column("same").to_numpy().view(np.uint64)) == copied
+        yield batch.filter(pa.array(chosen))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, generalise: float = 0.8, remove: float = 0.95, prior: float = 2.0) -> DataFrame:
+    """(key, start, end, gone): the words of ``found`` that disclose an entity of their text, and whether they are to go."""
+    total = F.lit(float(found.select("same").distinct().count()))
+    some = found.filter(F.size("spans") > 0)
+    holds = some.select("same", F.explode("entities").alias("entity")).distinct()
+    holds = staged(holds.join(holds.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "entities")
+    # A term of more texts than the entity reveals at most log(N / n(term)) / log(N / n(entity)).
+    may = (F.col("n_term") <= F.col("n_entity")) | (F.log(total / F.col("n_term")) >= (generalise - 1e-9) * F.log(total / F.col("n_entity")))
+    most = holds.groupBy("same").agg(F.max("n_entity").alias("n_entity"))
+    terms = some.select("same", F.explode("words.term").alias("term")).distinct().join(text_counts(docs, found).withColumnRenamed("n", "n_term"), "term")
+    terms = terms.join(most, "same").filter(may).drop("n_entity")
+    pairs = staged(terms.join(holds, "same").filter(may), "pairs")
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    share = F.when(F.col("n_both") > 1, F.col("n_both") / F.col("n_entity")).otherwise((F.col("n_both") + prior * F.col("n_term") / total) / (F.col("n_entity") + prior))
+    gain = F.log(total * share / F.col("n_term")) / F.log(total / F.col("n_entity"))
     strong = joint.withColumn("strength", F.when(F.col("n_entity") < total, gain).otherwise(0.0)).filter(F.col("strength") >= generalise)
     strong = strong.select("entity", "term", (F.col("strength") >= remove).alias("gone"))
-    return near.join(strong, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("gone").alias("gone"))
+    strong = pairs.select("same", "entity", "term").join(strong, ["entity", "term"]).groupBy("same", "term").agg(F.max("gone").alias("gone"))
+    places = some.select("key", "same", F.explode("words").alias("w")).select("key", "same", "w.*")
+    return places.join(strong, ["same", "term"]).groupBy("key", "start", "end").agg(F.max("gone").alias("gone"))
 
 
-def spans(docs: DataFrame, reach: int = 5, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
+def spans(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, prior: float = 2.0) -> DataFrame:
     """(key, doc_id, base, terms) for each row of ``docs`` (doc_id, text).
 
     ``base``: the base spans by start and then kind; ``terms``: the disclosing words, with ``gone`` where they are to be
-    removed. Positions are code points, ends exclusive. Null and empty texts have neither. Repeated rows stay and count
-    as one document; other columns are ignored. No rows give no rows.
+    removed. Positions are code points, ends exclusive. Null and empty texts have neither. Repeated rows stay; copies of
+    a text count as one text; other columns are ignored. No rows give no rows.
     """
-    found = staged(find(docs, reach), "found")
-    terms = disclosing(docs, found.filter(F.size("spans") > 0), generalise, remove, support)
+    found = staged(find(docs), "found")
+    terms = disclosing(docs, found, generalise, remove, prior)
     terms = terms.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "gone"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,gone:boolean>>")
     return found.select("key", "doc_id", F.col("spans").alias("base")).join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))

@@ -350,3 +350,17 @@ def test_near_copies_are_those_of_the_exact_similarity(spark, monkeypatch, block
                 root[max(find(i), find(j))] = min(find(i), find(j))
     got = {r.doc_id: r.component_id for r in nearcopies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in range(len(texts))} and 0 < near < 40 * 36
+
+
+def test_pii_terms_of_an_entity_of_one_text_wherever_they_stand(spark):
+    rows = [(i, f"filler number 7 by z{i} is plain text about a case that we close and file") for i in range(400)]
+    rows += [(500 + i, f"filler plain text v{i}") for i in range(400)]
+    rare = "Quillon is plain text about a case that we close and file number 7 by q@one.example and then Quillon, plain text"
+    far = "{} is plain text about a case that we close and file number 7 by t@two.example that"
+    rows += [(1000, rare), (1001, rare), (1002, far.format("Tarvok")), (1003, far.format("Then Tarvok")), (1004, "Tarvok has plain text")]
+    texts = dict(rows)
+    got = {r.doc_id: [(texts[r.doc_id][t.start : t.end], t.gone) for t in r.terms] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Copies are one text: a word that only this text has is generalised, at each of its places.
+    assert got[1000] == got[1001] == [("Quillon", False), ("Quillon", False)]
+    # Twelve and more words from the address.
+    assert got[1002] == [("Tarvok", False)] and ("Tarvok", False) in got[1003] and not got[1004]
