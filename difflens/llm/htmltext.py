@@ -28,7 +28,7 @@ STOP_WORDS = frozenset(
     "il di che non per una sono della con è nel alla dei i o da um uma não com os as ao het een van dat op te zijn".split()
 )
 
-_RAW = "script|style|noscript|template|svg|iframe|select|button|textarea|option|object|canvas|math|head"
+_RAW = "script|style|textarea"
 _PIECE = re.compile(
     rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
@@ -38,6 +38,11 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr td th option".split())
 _OUTSIDE = frozenset("nav footer aside form dialog menu".split())
+#: Elements whose text isn't read. The first have no blocks inside, so that a block ends them when their end tag is missing.
+_PHRASES = frozenset("button select option optgroup svg math".split())
+_UNREAD = _PHRASES | frozenset("noscript template iframe object canvas".split())
+_IN_HEAD = frozenset("title meta link base script style noscript template".split())
+_BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header li main menu nav ol p pre section summary table tbody td th tr ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)\b", re.I)
 _NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -78,17 +83,41 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked.clear()
 
+    def read(text):
+        if stack and stack[-1][0] == "head" and text.strip():
+            stack.pop()
+        if not any(t in _UNREAD or t == "head" for t, _, _ in stack):
+            parts.append(text)
+            if link:
+                linked.append(text)
+
     at = 0
+    last_end: dict[str, int] = {}
     for m in _PIECE.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
-            if link:
-                linked.append(page[at : m.start()])
+            read(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if m["raw"] or not tag:
-            if (m["raw"] or "").lower() == "head":
+            continue
+        if tag == "head" and m["end"] or not m["end"] and tag not in _IN_HEAD:  # the end tag of head may be missing
+            above = [t for t, _, _ in stack]
+            if "head" in above and not any(t in _UNREAD for t in above):
+                del stack[above.index("head") :]
                 close()
+        if not m["end"] and tag in _BLOCKS:
+            while stack and stack[-1][0] in _PHRASES:
+                stack.pop()
+        if tag in _UNREAD:
+            if m["end"]:
+                if any(t == tag for t, _, _ in stack):
+                    while stack.pop()[0] != tag:
+                        pass
+            elif not m["attrs"].rstrip().endswith("/"):
+                if tag not in last_end:
+                    last_end[tag] = max((e.start() for e in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+                if tag in _PHRASES or last_end[tag] > at:
+                    stack.append((tag, True, False))
             continue
         if tag in _INLINE:
             if tag == "a":
@@ -116,7 +145,7 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
         stack.append((tag, *_place(tag, m["attrs"], any(a for _, _, a in stack))))
     if at < len(page):
-        parts.append(page[at:])
+        read(page[at:])
     close()
     return out
 

@@ -364,3 +364,13 @@ def test_pii_terms_of_an_entity_of_one_text_wherever_they_stand(spark):
     assert got[1000] == got[1001] == [("Quillon", False), ("Quillon", False)]
     # Twelve and more words from the address.
     assert got[1002] == [("Tarvok", False)] and ("Tarvok", False) in got[1003] and not got[1004]
+
+
+def test_html_elements_without_end_tag():
+    text = "The text of the page is long and it was made for this test of the page, as it is."
+    assert htmltext.main_text(f"<head><title>x</title><body><article><p>{text}</article>") == text
+    assert htmltext.main_text(f"<head><title>x</title><meta a=b><article><p>{text}</article>") == text
+    for tag in ("noscript", "button", "select", "object", "svg", "iframe", "canvas", "template", "math"):
+        assert htmltext.main_text(f"<html><body><div><{tag} a=b></div><article><p>{text}</article>") == text, tag
+        assert htmltext.main_text(f"<html><body><{tag}><article><p>{text}</article>") == text, tag
+        assert htmltext.main_text(f"<article><p>The <{tag}><i>not read</i></{tag}>{text[4:]}</article>") == text, tag
