@@ -31,8 +31,11 @@ _HEX = re.compile(r"[0-9a-f]{16,}+")
 
 #: Words that announce a credential, and the value after them.
 _CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?ai:passwords?|passwd|passphrase|passcode|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer|credentials?|login)"
-    r"[\"']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20{1,3}(?:is|was)\x20{1,3})[\"'`]?([^\s\"'`<>,;]{6,})"
+    r"(?<![A-Za-z0-9])(?:(?ai:passwords?|passwd|passphrase|passcode|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer|credentials?|login)"
+    r"[\"']?(?:\x20{0,3}(?::=|=>|[:=])\x20{0,3}|\x20{1,3}(?:is|was)\x20{1,3})(?![\"'`]?(?ai:bearer)\x20)"
+    # After bearer and after options a blank is enough.
+    r"|(?:(?ai:bearer)|(?<![^\s\"'`=(\[])--?(?ai:(?:[a-z0-9]+[_-])*(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|login)))\x20{1,3})"
+    r"[\"'`]?([^\s\"'`<>,;]{6,})"
 )
 _HINTS = ("pass", "pwd", "secret", "token", "api", "key", "auth", "bearer", "credential", "login")
 

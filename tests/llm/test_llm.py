@@ -374,3 +374,11 @@ def test_html_elements_without_end_tag():
         assert htmltext.main_text(f"<html><body><div><{tag} a=b></div><article><p>{text}</article>") == text, tag
         assert htmltext.main_text(f"<html><body><{tag}><article><p>{text}</article>") == text, tag
         assert htmltext.main_text(f"<article><p>The <{tag}><i>not read</i></{tag}>{text[4:]}</article>") == text, tag
+
+
+def test_secrets_after_bearer_and_options():
+    found = lambda t: [t[s:e] for s, e in secrets.guessed(t, {"password": 1, "authentication": 3}, 14, 10)]
+    assert found("Authorization: Bearer xK9vLq2ZrT8wPq71") == ["xK9vLq2ZrT8wPq71"]
+    assert found("auth: Bearer xK9vLq2ZrT8wPq71") == ["xK9vLq2ZrT8wPq71"]
+    assert found("run --password xK9vLq2ZrT8w -v") == found("run --db-password xK9vLq2ZrT8w") == ["xK9vLq2ZrT8w"]
+    assert found("the bearer authentication and token xK9vLq2ZrT8w") == []
