@@ -17,11 +17,11 @@ def top_violations(issues: DataFrame, k: int = 10) -> DataFrame:
 
 
 def score_trend(reviews: DataFrame, as_of: Column | str, days: int = 30) -> DataFrame:
-    """Mean scope score per day over the last ``days`` days; the filter prunes date partitions."""
+    """Mean scope score per day over the last ``days`` days; the filter prunes a store's months."""
     since = F.date_sub(F.to_date(F.lit(as_of) if isinstance(as_of, str) else as_of), days)
     recent = reviews.filter(F.col("created_at") >= since)
-    if "review_date" in reviews.columns:
-        recent = recent.filter(F.col("review_date") >= since)
+    if "review_month" in reviews.columns:
+        recent = recent.filter(F.col("review_month") >= F.trunc(since, "month"))
     return (
         recent.groupBy(F.to_date("created_at").alias("day"))
         .agg(F.round(F.avg("scope_score"), 1).alias("avg_score"))

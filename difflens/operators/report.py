@@ -1,8 +1,8 @@
 """What a review shows: payload rows for the code host, Markdown, HTML and JSON.
 
 Texts are built by expressions. What belongs to one PR without a natural limit
-(its HTML report, its nested response) is produced as ordered pieces, and put
-together only where the whole has a checked size.
+(its HTML report, its nested response) is produced as ordered pieces, which
+``documents.in_parts`` joins to numbered parts of bounded size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from . import counts
+from . import counts, documents
 from .registry import EMISSION_ORDER
 
 BOT_NAME = "Code Review Bot"
@@ -148,8 +148,8 @@ def summary_comments(summaries: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
-def status_payloads(reviews: DataFrame, product: str = PRODUCT_NAME) -> DataFrame:
-    """Commit status and fallback comment of stored reviews."""
+def status_payloads(reviews: DataFrame, product: str = PRODUCT_NAME, description_chars: int = V.MAX_STATUS_CHARS) -> DataFrame:
+    """Commit status and fallback comment of stored reviews; the code host takes descriptions of a limited length."""
     e, w, s = F.col("errors"), F.col("warnings"), F.col("suggestions")
     failed = e > 0
     description = T.severity_phrase(e, w, s)
@@ -164,47 +164,113 @@ def status_payloads(reviews: DataFrame, product: str = PRODUCT_NAME) -> DataFram
         "review_uuid",
         "pr_number",
         F.when(failed, "failure").otherwise("success").alias("state"),
-        F.substring(description, 1, V.MAX_STATUS_CHARS).alias("description"),
+        F.substring(description, 1, description_chars).alias("description"),
         F.lit(product).alias("context"),
         comment.alias("comment"),
     )
 
 
-def review_responses(heads: DataFrame, findings: DataFrame, scores: DataFrame) -> DataFrame:
+def review_responses(heads: DataFrame, findings: DataFrame, scores: DataFrame, description_chars: int | None = V.MAX_DESCRIPTION_CHARS) -> DataFrame:
     """The head of each dashboard response. ``heads(pr_id, issue_key, issue_title,
-    issue_description, issue_type, pr_title, pr_url)``; PRs without findings have zero counts."""
+    issue_description, issue_type, pr_title, pr_url)``; PRs without findings have zero counts.
+    A response shows the beginning of the issue's description, or all of it without a limit."""
     totals = counts.per_review(findings)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     numbers = ["total", "errors", "warnings", "suggestions", "suppressed_count"]
     joined = heads.join(totals, "pr_id", "left").join(scores, "pr_id", "left")
     rows = joined.select(
         "pr_id", "issue_key", "issue_title",
-        F.substring("issue_description", 1, V.MAX_DESCRIPTION_CHARS).alias("issue_description"),
+        (F.substring("issue_description", 1, description_chars) if description_chars else F.col("issue_description")).alias("issue_description"),
         "issue_type", "pr_title", "pr_url", *[zero(c) for c in numbers],
         F.coalesce("score", F.lit(100)).cast("bigint").alias("scope_score"),
     )
     return rows.withColumn("summary", T.review_summary(F.col("errors"), F.col("warnings"), F.col("scope_score")))
 
 
-def response_files(visible: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """The files of each response with their issues as arrays in order of emission; a file
-    with very many lines comes in parts."""
-    issue = F.struct(
-        *EMISSION_ORDER, F.col("line_no").alias("line"), "message", "severity", "rule_id", "original_line",
-        "suggested_fix", "suppressed",
+def _issue_json() -> Column:
+    return F.to_json(
+        F.struct(F.col("line_no").alias("line"), "message", "severity", "rule_id", "original_line", "suggested_fix", "suppressed"),
+        {"ignoreNullFields": "false"},
     )
-    rows = visible.withColumn("part", F.expr(f"line_no div {int(lines_per_part)}"))
-    grouped = rows.groupBy("pr_id", "path", "part").agg(
-        *counts.severity_counts(), F.array_sort(F.collect_list(issue)).alias("issues")
+
+
+def response_files(visible: DataFrame, part_bytes: int = documents.PART_BYTES) -> DataFrame:
+    """The files of each response: (pr_id, path, part, start, errors, warnings, suggestions, issues).
+
+    The counts are the whole file's. ``issues`` is JSON, the elements of the file's issues in order of emission with
+    commas between; only a file with more than ``part_bytes`` of it has further parts, which follow on directly."""
+    per_file = counts.per_file(visible)
+    pieces = visible.select("pr_id", "path", *EMISSION_ORDER, _issue_json().alias("text"), F.lit("issues").alias("enters"), F.lit("issues").alias("leaves"))
+    parts = documents.in_parts(pieces, ["pr_id", "path"], EMISSION_ORDER, size=part_bytes)
+    return parts.join(per_file, ["pr_id", "path"]).withColumnRenamed("text", "issues")
+
+
+RESPONSE_ORDER = ["section", "path", "kind", *EMISSION_ORDER]
+
+
+def _piece(section: int, kind: int, text: Column, path: str | None = None, enters: str | None = None, leaves: str | None = None, order: dict | None = None) -> list[Column]:
+    """The columns of one piece of a nested response."""
+    named = lambda name: F.lit(name).cast("string")
+    return [
+        "pr_id", F.lit(section).alias("section"), (F.lit("") if path is None else F.col(path)).alias("path"), F.lit(kind).alias("kind"),
+        *[(F.col(order[c]) if order and c in order else F.lit(None)).cast("bigint").alias(c) for c in EMISSION_ORDER],
+        text.alias("text"), named(enters).alias("enters"), named(leaves).alias("leaves"),
+    ]
+
+
+def response_pieces(
+    responses: DataFrame, visible: DataFrame, scoped: DataFrame, missing: DataFrame, areas=(), pr_number: Column | None = None
+) -> DataFrame:
+    """The full nested response of each PR as ordered pieces of JSON (``RESPONSE_ORDER``).
+
+    ``responses``: ``review_responses``, with ``review_uuid``. ``scoped(pr_id, file_idx, path, in_scope)``: files of these
+    PRs, listed in diff order. ``missing(pr_id, keyword, message)``: listed in the order of ``areas``, the scope map's
+    keywords. Files are in order of path with their issues in order of emission.
+    """
+    head = F.struct(
+        "review_uuid", "issue_key", "issue_title", "issue_description", "issue_type", (F.col("pr_id") if pr_number is None else pr_number).alias("pr_number"),
+        "pr_title", "pr_url", F.col("total").alias("total_issues"), "errors", "warnings", "suggestions", "suppressed_count",
+    )
+    tail = F.concat(
+        F.lit('],"score":'), F.col("scope_score").cast("string"), F.lit('},"summary":'), documents.json_text(F.col("summary")), F.lit("}"),
+    )
+    frame = [
+        _piece(0, 0, F.concat(F.lit("{"), documents.json_fields(head), F.lit(',"files":['))),
+        _piece(2, 0, F.lit('],"scope_validation":{"in_scope":[')),
+        _piece(4, 0, F.lit('],"out_of_scope":[')),
+        _piece(6, 0, F.lit('],"missing":[')),
+        _piece(8, 0, tail),
+    ]
+    per_file = counts.per_file(visible)
+    opened = F.concat(F.lit('{"file_path":'), documents.json_text(F.col("path")), F.lit(',"issues":['))
+    numbers = F.struct(*[F.col(f"{s}s").alias(f"{s}_count") for s in V.SEVERITIES])
+    closed = F.concat(F.lit("],"), documents.json_fields(numbers), F.lit("}"))
+    files = [_piece(1, 0, opened, "path", enters="files"), _piece(1, 2, closed, "path", leaves="files")]
+    emitted = {c: c for c in EMISSION_ORDER}
+    issue = _piece(1, 1, _issue_json(), "path", "issues", "issues", emitted)
+    place = F.array_position(F.array(*[F.lit(c) for c in areas]).cast("array<string>"), F.col("keyword"))
+    path_text = documents.json_text(F.col("path"))
+
+    def inlined(rows: DataFrame, choices: list[list[Column]]) -> DataFrame:
+        """Several pieces of each row, in one pass over the rows."""
+        return rows.select("pr_id", F.inline(F.array(*[F.struct(*c[1:]) for c in choices])))
+
+    inside = scoped.filter("in_scope").select(*_piece(3, 0, path_text, None, "paths", "paths", {"file_idx": "file_idx"}))
+    outside = scoped.filter("not in_scope").select(*_piece(5, 0, path_text, None, "paths", "paths", {"file_idx": "file_idx"}))
+    gaps = missing.withColumn("_place", place).select(
+        *_piece(7, 0, documents.json_text(F.col("message")), None, "paths", "paths", {"file_idx": "_place"})
     )
-    bare = F.transform("issues", lambda i: i.dropFields(*EMISSION_ORDER))
-    return grouped.withColumn("issues", bare)
+    parts = [inlined(responses, frame), inlined(per_file, files), visible.select(*issue), inside, outside, gaps]
+    wanted = responses.select("pr_id")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part.join(wanted, "pr_id", "left_semi"))
+    return out
 
 
-def as_json(rows: DataFrame, *keys: str, pretty: bool = False) -> DataFrame:
-    """Each row as one JSON document beside its key columns."""
-    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
-    return rows.select(*keys, F.to_json(F.struct("*"), options).alias("json"))
+def response_documents(responses, visible, scoped, missing, areas=(), part_bytes: int = documents.PART_BYTES) -> DataFrame:
+    """``(pr_id, part, start, text)``: the full nested response of each PR as JSON, in parts."""
+    return documents.in_parts(response_pieces(responses, visible, scoped, missing, areas), ["pr_id"], RESPONSE_ORDER, size=part_bytes)
 
 
 def html_pieces(reviews: DataFrame, issues: DataFrame) -> DataFrame:
@@ -271,8 +337,6 @@ def html_pieces(reviews: DataFrame, issues: DataFrame) -> DataFrame:
 PIECE_ORDER = ["section", "path", "kind", "line_no", "rule_ord", "phase", "emit_pos", "emit_sub"]
 
 
-def html_documents(pieces: DataFrame) -> DataFrame:
-    """``(pr_id, html)`` of every report. A report too long for one row is read as its pieces
-    (:func:`html_pieces`, sorted by ``PIECE_ORDER``)."""
-    ordered = F.array_sort(F.collect_list(F.struct(*PIECE_ORDER, "html")))
-    return pieces.groupBy("pr_id").agg(F.array_join(F.transform(ordered, lambda p: p["html"]), "").alias("html"))
+def html_documents(pieces: DataFrame, part_bytes: int = documents.PART_BYTES) -> DataFrame:
+    """``(pr_id, part, start, html)``: every report in parts of bounded size."""
+    return documents.in_parts(pieces, ["pr_id"], PIECE_ORDER, "html", part_bytes).withColumnRenamed("text", "html")

@@ -177,4 +177,4 @@ def findings_top30(spark, sf_dir):
     return ranked(spark, sf_dir).withColumn("rank", F.col("rank").cast("bigint")).select(*FINDING, "rank")
 
 
-from . import catalog_reports  # noqa: E402,F401  (registers the report queries)
+from . import catalog_reports, catalog_store  # noqa: E402,F401  (register the report and store queries)

@@ -486,36 +486,6 @@ def review_summary(spark, sf_dir):
     return _responses(spark, sf_dir)
 
 
-@query(
-    "review_response_files",
-    f"""SELECT pr_id, path, line_no // 10000 AS part, {_counted()}, count(*) AS n_issues,
-        string_agg(line_no || ' ' || rule_id || ' ' || message, chr(10) ORDER BY {O.EMISSION}) AS issues FROM seen GROUP BY ALL""",
-    "seen",
-)
-def review_response_files(spark, sf_dir):
-    rows = report.response_files(seen(spark, sf_dir))
-    shown = F.transform("issues", lambda i: F.concat_ws(" ", i["line"].cast("string"), i["rule_id"], i["message"]))
-    return rows.select(
-        "pr_id", "path", "part", "errors", "warnings", "suggestions", F.size("issues").cast("bigint").alias("n_issues"),
-        F.array_join(shown, "\n").alias("issues"),
-    )
-
-
-@query(
-    "json_export",
-    "SELECT pr_id, issue_key, total, summary FROM responses",
-    "responses",
-    extra=DASHBOARD,
-)
-def json_export(spark, sf_dir):
-    """Responses written as JSON documents and read back field by field."""
-    docs = report.as_json(_responses(spark, sf_dir), "pr_id")
-    field = lambda name: F.get_json_object("json", f"$.{name}")
-    return docs.select(
-        "pr_id", field("issue_key").alias("issue_key"), field("total").cast("bigint").alias("total"), field("summary").alias("summary")
-    )
-
-
 @query(
     "status_payload",
     f"""SELECT pr_id AS pr_number, CASE WHEN errors > 0 THEN 'failure' ELSE 'success' END AS state, substr({_phrase()}, 1, 140) AS description,
@@ -544,7 +514,7 @@ UUID = "md5(concat_ws('|', pr_id, head_sha, created_at))"
 @query(
     "stored_reviews",
     f"""SELECT {UUID} AS review_uuid, issue_key, pr_id AS pr_number, pr_title, pr_url, errors, warnings, suggestions, total, scope_score,
-        summary, length(CASE WHEN length(diff_text) > {V.MAX_DIFF_CHARS} THEN substr(diff_text, 1, {V.MAX_DIFF_CHARS}) || {O.lit(V.DIFF_TRUNCATED_NOTE)} ELSE diff_text END) AS diff_chars
+        summary, length(diff_text) AS diff_chars
         FROM responses JOIN diffs USING (pr_id)""",
     "responses",
     "diffs",
@@ -571,36 +541,6 @@ def review_detail(spark, sf_dir):
     )
 
 
-def _html_sql() -> str:
-    esc = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
-    (hi, hic), (mid, midc), (_, low) = V.SCOPE_COLOURS
-    card = lambda label, n: f"'<li class=\"{label}\">{label}: <b>' || {n} || '</b></li>'"
-    short = "array_to_string(string_split(path, '/')[-3:], '/')"
-    rows = (
-        f"'<tr><td style=\"color:' || {O.case('severity', V.SEVERITY_COLOURS, V.DEFAULT_COLOUR)} || '\">' || severity || '</td><td>L' || line_no || "
-        f"'</td><td>' || {esc('rule_id')} || '</td><td>' || {esc('message')} || '</td></tr>' || chr(10)"
-    )
-    return f"""SELECT r.pr_id, '<!DOCTYPE html>' || chr(10) || '<html lang="en"><head><meta charset="UTF-8"><title>Code Review Report — ' || issue_key
-        || '</title></head><body>' || chr(10) || '<h1>Code Review Report</h1>' || chr(10) || '<p>' || issue_key || ' &mdash; PR #' || r.pr_id || ': ' || {esc('pr_title')}
-        || ' &mdash; Generated ' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' UTC</p>' || chr(10) || '<ul>'
-        || {card('Total', '(errors + warnings + suggestions)')} || {card('Errors', 'errors')} || {card('Warnings', 'warnings')} || {card('Suggestions', 'suggestions')}
-        || '</ul>' || chr(10) || '<p>Scope Score: <b style="color:' || CASE WHEN scope_score >= {hi} THEN '{hic}' WHEN scope_score >= {mid} THEN '{midc}' ELSE '{low}' END
-        || '">' || scope_score || '%</b></p>' || chr(10) || '<p>' || {esc('summary')} || '</p>' || chr(10) || '<h2>File Analysis</h2>' || chr(10)
-        || coalesce(body, '<p>No issues found.</p>' || chr(10)) || '<p>{report.BOT_NAME} &mdash; ' || strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' UTC</p>' || chr(10) || '</body></html>' || chr(10) AS html
-      FROM responses r LEFT JOIN (SELECT pr_id, string_agg('<h3>' || {esc(short)} || ' <small>' || e || 'E / ' || w || 'W / ' || s || 'S</small></h3>' || chr(10)
-          || '<table>' || chr(10) || rows || '</table>' || chr(10), '' ORDER BY path) AS body FROM
-        (SELECT pr_id, path, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w,
-           count(*) FILTER (WHERE severity = 'suggestion') AS s, string_agg({rows}, '' ORDER BY line_no, rule_ord, phase, emit_pos, emit_sub) AS rows FROM seen GROUP BY pr_id, path)
-        GROUP BY pr_id) USING (pr_id)"""
-
-
-@query("html_report", _html_sql(), "responses", "seen", extra=DASHBOARD)
-def html_report(spark, sf_dir):
-    heads = _heads(spark, sf_dir).select("pr_id", "created_at")
-    pieces = report.html_pieces(_responses(spark, sf_dir).join(heads, "pr_id"), staged_findings(spark, sf_dir))
-    return report.html_documents(pieces)
-
-
 SHORT = "CASE WHEN len(string_split(path, '/')) > {n} THEN '.../' || array_to_string(string_split(path, '/')[-{n}:], '/') ELSE path END"
 
 

@@ -358,6 +358,26 @@ def _findings() -> dict[str, tuple[tuple, str]]:
     }
 
 
+def parts(pieces: str, key: str, order: str, size: int, text: str = "text") -> dict[str, tuple[tuple, str]]:
+    """CTEs that cut the documents of ``pieces`` (key, order, text, enters, leaves) into numbered parts: ``parts``."""
+    by = ", ".join(f"{c.strip()} NULLS FIRST" for c in f"{order}, text".split(","))
+    return {
+        "joined": (
+            (pieces,),
+            f"SELECT *, CASE WHEN enters = lag(leaves) OVER (PARTITION BY {key} ORDER BY {by}) THEN ',' ELSE '' END || text AS t FROM {pieces}",
+        ),
+        "placed_pieces": (
+            ("joined",),
+            f"SELECT *, CAST(coalesce(sum(strlen(t)) OVER (PARTITION BY {key} ORDER BY {by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) "
+            "AS place FROM joined",
+        ),
+        "parts": (
+            ("placed_pieces",),
+            f"SELECT {key}, place // {size} AS part, min(place) AS start, string_agg(t, '' ORDER BY {by}) AS {text} FROM placed_pieces GROUP BY {key}, place // {size}",
+        ),
+    }
+
+
 CTES: dict[str, tuple[tuple, str]] = {**_corpus(), **_diff(), **_findings()}
 
 

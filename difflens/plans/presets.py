@@ -17,12 +17,15 @@ staged: written once to the shared folder and scanned by column after that.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import counts, diff, files, findings, report, scope
+from ..functions import text
+from ..functions import values as V
+from ..operators import counts, diff, documents, files, findings, report, scope
 from ..sources import landed, staging, store
 
 
@@ -121,8 +124,9 @@ def dashboard_review(
     domain: str,
     store_base: str | None = None,
     areas: dict | None = None,
+    batch: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Findings with suppression, scope, responses; appended to the store when its place is given."""
+    """Findings with suppression, scope, responses; published in the store when its place is given, once for each ``batch``."""
     lines = Lines.of(diffs)
     found = staging.stage(findings.suppress(findings.find(lines.reviewed), lines.reviewed), "findings")
     heads = dashboard_heads(prs, issues, links)
@@ -134,19 +138,64 @@ def dashboard_review(
     responses = report.review_responses(heads, found, scores.select("pr_id", "score"))
     tables = store_tables(heads, responses, found, diffs)
     if store_base is not None:
-        store.write(store_base, tables["reviews"], tables["review_files"], tables["review_issues"])
+        store.write(store_base, tables, batch or uuid.uuid4().hex)
+    uuids = tables["reviews"].select(F.col("pr_number").alias("pr_id"), "review_uuid")
+    missing = scope.missing_areas(pairs, changed, areas)
     return {
         "findings": found,
         "responses": responses,
         "files": report.response_files(findings.visible(found)),
+        "documents": report.response_documents(responses.join(uuids, "pr_id"), findings.visible(found), scoped, missing, list(areas)),
+        "html": report.html_documents(report.html_pieces(responses.join(heads.select("pr_id", "created_at"), "pr_id"), found)),
         "scope": scoped,
-        "missing": scope.missing_areas(pairs, changed, areas),
+        "missing": missing,
         **tables,
     }
 
 
-def local_review(diffs: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
-    """Repositories by diff or full scan, with suppression; the scope score is always 100."""
+def local_review(diffs: DataFrame, sources: DataFrame, folders: DataFrame, store_base: str | None = None, batch: str | None = None) -> dict[str, DataFrame]:
+    """Folders by diff or full scan, to their stored reviews and responses.
+
+    ``folders(pr_id, folder_name, created_at)``: what was asked for; ``diffs`` and ``sources`` belong to them by ``pr_id``.
+    The scope score is always 100, and the scope lists are empty. Folders without anything to review have no response
+    but a row in ``nothing``."""
     lines = staging.stage(landed.local_review_lines(diffs, sources), "local_lines")
-    found = findings.suppress(findings.find(lines), lines)
-    return {"lines": lines, "findings": found, "totals": counts.per_review(found)}
+    found = staging.stage(findings.suppress(findings.find(lines), lines), "local_findings")
+    by_diff = diffs.filter(text.strip(F.col("diff_text")) != "").select("pr_id", "diff_text")
+    changed = lines.select("pr_id", "file_idx", F.lit(False).alias("scanned")).distinct()
+    in_folder = sources.filter(landed.scanned_file(F.col("path"))).select("pr_id", F.xxhash64("path").alias("file_idx"), F.lit(True).alias("scanned"))
+    # A folder with a diff is judged by the diff's files, any other by its own, empty ones too.
+    judged = changed.unionByName(in_folder).join(by_diff.select("pr_id", F.lit(True).alias("by_diff")), "pr_id", "left")
+    n_files = judged.filter(F.col("scanned") == F.col("by_diff").isNull()).groupBy("pr_id").agg(F.count("*").alias("n_files"))
+    source = F.when(F.col("diff_text").isNotNull(), V.LOCAL_DIFF).otherwise(V.LOCAL_SCAN)
+    asked = folders.join(n_files, "pr_id").join(by_diff, "pr_id", "left")
+    heads = asked.select(
+        "pr_id", F.lit(V.LOCAL_KEY).alias("issue_key"), F.col("folder_name").alias("issue_title"),
+        text.fill(V.LOCAL_DESCRIPTION, source, F.col("n_files")).alias("issue_description"), F.lit(V.LOCAL_TYPE).alias("issue_type"),
+        F.lit("").alias("pr_title"), F.lit("").alias("pr_url"), "created_at",
+    )
+    responses = report.review_responses(heads, found, heads.select("pr_id", F.lit(100).alias("score")))
+    # A stored local review has no PR number; the id keeps folders apart that are reviewed at one time.
+    named = asked.select("pr_id", text.fill(V.LOCAL_TITLE, F.col("folder_name")).alias("pr_title"), "diff_text", "created_at")
+    given = responses.drop("pr_title").join(named, "pr_id").withColumn("head_sha", F.lit(V.LOCAL_KEY)).withColumnRenamed("pr_id", "pr_number")
+    reviews = staging.stage(store.review_rows(given), "local_reviews")
+    tables = {
+        "reviews": reviews.withColumn("pr_number", F.lit(0).cast("bigint")),
+        "review_files": store.file_rows(reviews, found),
+        "review_issues": store.issue_rows(reviews, found),
+    }
+    if store_base is not None:
+        store.write(store_base, tables, batch or uuid.uuid4().hex)
+    uuids = reviews.select(F.col("pr_number").alias("pr_id"), "review_uuid")
+    none = diffs.sparkSession.createDataFrame([], "pr_id bigint, file_idx bigint, path string, in_scope boolean, keyword string, message string")
+    shown = findings.visible(found)
+    pieces = report.response_pieces(responses.join(uuids, "pr_id"), shown, none, none, pr_number=F.lit(0))
+    return {
+        "lines": lines,
+        "findings": found,
+        "totals": counts.per_review(found),
+        "responses": responses.join(uuids, "pr_id"),
+        "documents": documents.in_parts(pieces, ["pr_id"], report.RESPONSE_ORDER),
+        "nothing": folders.join(n_files, "pr_id", "left_anti"),
+        **tables,
+    }

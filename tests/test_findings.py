@@ -1,3 +1,5 @@
+import json
+
 from conftest import changed_lines
 from pyspark.sql import functions as F
 
@@ -193,7 +195,7 @@ def test_presets(spark, tmp_path):
     assert checks[1].title == "1 error, 2 warnings, 1 suggestion found" and checks[2].conclusion == "success"
 
     base = str(tmp_path / "store")
-    dash = presets.dashboard_review(prs, diffs, issues, linking.link_prs(issues, prs), "example.com", base)
+    dash = presets.dashboard_review(prs, diffs, issues, linking.link_prs(issues, prs), "example.com", base, batch="one")
     heads = {r.pr_id: r for r in dash["responses"].collect()}
     assert (heads[1].total, heads[1].errors, heads[1].suppressed_count, heads[1].scope_score) == (3, 1, 1, 100)
     assert len(heads[1].issue_description) == 500 and heads[2].total == 0
@@ -201,26 +203,13 @@ def test_presets(spark, tmp_path):
     history = store.history(tables["reviews"]).collect()
     assert len(history) == 2 and {r.issue_key for r in history} == {"AB-1", "AB-2"}
     uuid = next(r.review_uuid for r in history if r.issue_key == "AB-1")
-    nested = store.nested_detail(tables, uuid).collect()
-    assert len(nested) == 1 and [i.line_number for i in nested[0].issues] == [1, 2, 3, 3]
-    assert sum(i.suppressed for i in nested[0].issues) == 1
-    assert store.nested_detail(tables, "unknown").count() == 0
-
-
-def test_long_diff_is_shortened(spark):
-    import datetime as dt
-
-    from difflens.sources import store
-
-    df = spark.range(2).select(
-        F.lit("AB-1").alias("issue_key"), F.col("id").alias("pr_number"), F.lit("s").alias("head_sha"),
-        F.lit(dt.datetime(2024, 1, 1)).alias("created_at"),
-        F.expr("repeat('x', if(id = 0, 500000, 500001))").alias("diff_text"), F.lit(2).alias("errors"),
-    )
-    rows = {r.pr_number: r for r in store.review_rows(df).collect()}
-    assert len(rows[0].diff_text) == 500_000
-    assert rows[1].diff_text.endswith("x\n[diff truncated]") and len(rows[1].diff_text) == 500_017
-    assert (rows[0].total, rows[0].scope_score, rows[0].summary) == (2, 100, "")
+    stored = json.loads("".join(r.text for r in store.review_documents(tables, uuid).orderBy("part").collect()))
+    assert [[i["line_number"] for i in f["issues"]] for f in stored["files"]] == [[1, 2, 3, 3]]
+    assert sum(i["suppressed"] for i in stored["files"][0]["issues"]) == 1
+    response = json.loads("".join(r.text for r in dash["documents"].filter("pr_id = 1").orderBy("part").collect()))
+    assert response["review_uuid"] == uuid and len(response["files"][0]["issues"]) == 3
+    assert response["scope_validation"]["in_scope"] == ["Search/a.cs"]
+    assert dash["html"].filter("pr_id = 1").first().html.count("<tr>") == 3
 
 
 def test_suppressed_only_files_are_stored_with_zero_counts(spark):
