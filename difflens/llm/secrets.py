@@ -42,7 +42,11 @@ _HINTS = ("pass", "pwd", "secret", "token", "api", "key", "auth", "bearer", "cre
 #: Rows of a keyboard, for walks.
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qazwsxedcrfvtgbyhnujm", "abcdefghijklmnopqrstuvwxyz")
 _STEPS = {(a, b) for row in _ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y), (y, x))}
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+_DATES = (
+    re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"),
+    re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d"),
+    re.compile(r"(?:19|20)\d\d"),
+)
 _LEET = str.maketrans("01345@$", "oleasas")
 
 
@@ -58,48 +62,105 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+class _Starts:
+    """The cheapest start of a repeat or walk that ends at some place, over the starts of one run.
+
+    A start ``i`` offers ``at + log10(end - i)``. Of two starts the later is the cheaper for near ends and the earlier for
+    far ones, if they change at all, so a tree over the ends with one start in each node finds the cheapest; each place
+    looks at no more starts than the tree is deep.
+    """
+
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+        self.kept: dict[tuple[int, int], tuple[float, int]] = {}
+
+    @staticmethod
+    def _offer(start: tuple[float, int], end: int) -> float:
+        # Before a start is reached nothing ends there; the later start counts as the cheaper, as it is just behind.
+        return start[0] + math.log10(end - start[1]) if end > start[1] else -math.inf
+
+    def add(self, at: float, i: int) -> None:
+        low, high, start = self.low, self.high, (at, i)
+        while True:
+            held = self.kept.get((low, high))
+            if held is None:
+                self.kept[low, high] = start
+                return
+            middle = (low + high) // 2
+            if self._offer(start, middle) <= self._offer(held, middle):  # starts come in order, so this one is the later
+                self.kept[low, high], start, held = start, held, start
+            if low == high:
+                return
+            # Left of the middle only a later start can still be cheaper, right of it only an earlier one.
+            if start[1] > held[1]:
+                high = middle
+            else:
+                low = middle + 1
+
+    def cheapest(self, end: int) -> float:
+        low, high, best = self.low, self.high, math.inf
+        while True:
+            held = self.kept.get((low, high))
+            if held is None:
+                return best
+            best = min(best, self._offer(held, end))
+            if low == high:
+                return best
+            middle = (low + high) // 2
+            low, high = (low, middle) if end <= middle else (middle + 1, high)
+
+
+def _class_size(c: str) -> int:
+    return 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33
+
+
 def guess_cost(value: str, ranks: dict[str, int], longest: int) -> float:
-    """log10 of the guesses of the cheapest segmentation of ``value``; linear in its length.
+    """log10 of the guesses of the cheapest segmentation of ``value``, over all segmentations.
 
     A word costs its rank (twice that with capitals or leet letters), a date the days of two centuries, a repeat or a
-    walk its first character times its length, and any other character the size of its class. Every segment costs a
-    factor of two for the choice of what it is.
+    walk of three or more characters the size of its first one's class times its length, and any other character the size
+    of its class. Every segment but such a character costs a factor of two for the choice of what it is.
     """
     n = len(value)
-    low = value.lower()
+    low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            dates.setdefault(i, []).append(m.end())
     best = [0.0] + [math.inf] * n
     step = math.log10(2)
-    repeat = walk = 0
-    run = [n] * (n + 1), [n] * (n + 1)
-    for i in range(n - 1, -1, -1):  # where the repeat and the walk that begin at i end
-        repeat = repeat if i + 1 < n and value[i] == value[i + 1] else i + 1
-        walk = walk if i + 1 < n and (low[i], low[i + 1]) in _STEPS else i + 1
-        run[0][i], run[1][i] = repeat, walk
+    same = [i > 0 and value[i] == value[i - 1] for i in range(n)]
+    walked = [i > 0 and (low[i - 1], low[i]) in _STEPS for i in range(n)]
+    ends = []  # for each kind the end of the run that a place is in
+    for linked in (same, walked):
+        end, out = n, [n] * n
+        for i in range(n - 1, -1, -1):
+            out[i] = end
+            end = end if linked[i] else i
+        ends.append(out)
+    runs: list[_Starts | None] = [None, None]
     for i in range(n):
         at = best[i]
-        c = value[i]
-        size = 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33
-        brute = at + math.log10(size)
-        if brute < best[i + 1]:
-            best[i + 1] = brute
-        for end, cost in ((e, math.log10(size * (e - i))) for e in (run[0][i], run[1][i]) if e - i >= 3):
-            if at + cost + step < best[end]:
-                best[end] = at + cost + step
-        for end in dates.get(i, ()):
-            if at + math.log10(200 * (365 if end - i > 4 else 1)) + step < best[end]:
-                best[end] = at + math.log10(200 * (365 if end - i > 4 else 1)) + step
+        size = math.log10(_class_size(value[i]))
+        best[i + 1] = min(best[i + 1], at + size)
+        if value[i].isdigit():
+            for form in _DATES:
+                if m := form.match(value, i):
+                    days = 200 * (365 if m.end() - i > 4 else 1)
+                    best[m.end()] = min(best[m.end()], at + math.log10(days) + step)
         for end in range(i + 3, min(n, i + longest) + 1):
             rank = ranks.get(low[i:end])
             rank = rank if rank is not None else ranks.get(plain[i:end])
             if rank is not None:
                 cost = math.log10(rank * (1 if value[i:end] == low[i:end] and low[i:end] in ranks else 2)) + step
-                if at + cost < best[end]:
-                    best[end] = at + cost
+                best[end] = min(best[end], at + cost)
+        # Whatever ends at i + 1 is known now but repeats and walks, whose starts are at least three places before.
+        for kind, linked in enumerate((same, walked)):
+            if not linked[i]:
+                runs[kind] = None
+            elif i >= 2 and linked[i - 1]:
+                if runs[kind] is None:
+                    runs[kind] = _Starts(i + 1, ends[kind][i])
+                start = i - 2
+                runs[kind].add(best[start] + math.log10(_class_size(value[start])) + step, start)
+                best[i + 1] = min(best[i + 1], runs[kind].cheapest(i + 1))
     return best[n]
 
 
@@ -111,21 +172,31 @@ def guessed(text: str, ranks: dict[str, int], longest: int, least: float) -> lis
 
 
 def dictionary(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
-    """Ranks of the words of three letters or more that occur in most documents: all words of the highest counts, as
-    many counts as give at most ``size`` words; ties by the word."""
+    """Ranks of the words of three letters or more that occur in most documents, ``size`` of them or a little fewer:
+    all words of the highest counts, and of the count at which that would be too many those that come first by hash."""
     words = document_counts(docs).filter((F.length("term") >= 3) & (F.length("term") <= 24) & (F.col("n") > 1))
     words = staged(words, "words")
     # The counts, in steps of a hundredth, say from which count on to take words; no task sends more than it has of these.
     level = F.floor(F.log("n") * 100)
-    taken, least = 0, None
+    taken, chosen = 0, F.lit(False)
     for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
-        taken += r.words
-        if taken > size:
+        rest = size - taken
+        if r.words > rest:
+            # Of this level about a thirty-second of what is free at a time, in the order of the words' hash.
+            parts = max(1, 32 * r.words // max(1, rest))
+            part = F.pmod(F.xxhash64("term"), F.lit(parts))
+            found = words.filter((level == r.level) & (part < 64)).groupBy(part.alias("part")).agg(F.count("*").alias("words")).orderBy("part").collect()
+            at = 0
+            for f in found:
+                if f.words > rest:
+                    break
+                rest -= f.words
+                at = f.part + 1
+            chosen = chosen | ((level == r.level) & (part < at))
             break
-        least = r.level
-    if least is None:
-        return {}
-    top = words.filter(level >= least).collect()
+        chosen = chosen | (level == r.level)
+        taken += r.words
+    top = words.filter(chosen).collect()
     return {r.term: i + 1 for i, r in enumerate(sorted(top, key=lambda r: (-r.n, r.term)))}
 
 
