@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from difflens.llm.common import staged
 
 _PAIRS = 1 << 20
+_TINY = np.nextafter(0.0, 1.0)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding as doubles) of the vectors that take part: with an id, not null, without null or non-finite components, not zero."""
-    v = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    v = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.filter(finite & F.exists("embedding", lambda x: x != 0))
 
@@ -60,11 +61,24 @@ def _pack(group: pa.Table, column: str, copies: int) -> pa.Table:
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, the scale of each row, and the sum of each row's absolute codes."""
-    scale = np.abs(x).max(axis=1) / 127
+    scale = np.maximum(np.abs(x).max(axis=1) / 127, _TINY)
     codes = np.rint(x / scale[:, None]).astype(np.int8)
     return codes, scale, np.abs(codes.astype(np.float64)).sum(axis=1)
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products row by row; where terms are beyond the largest double, the sum's sign still decides."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (x * y).sum(axis=1)
+    beyond = np.flatnonzero(~np.isfinite(out))
+    if len(beyond):
+        (_, a), (_, b) = (np.frexp(np.abs(v[beyond]).max(axis=1)) for v in (x, y))
+        small = (np.ldexp(x[beyond], -a[:, None]) * np.ldexp(y[beyond], -b[:, None])).sum(axis=1)
+        with np.errstate(over="ignore"):
+            out[beyond] = np.ldexp(small, a + b)
+    return out
+
+
 def tile(q_ids, q, c_ids, c, k: int) -> list[list[tuple[float, int]]]:
     """For each query its ``k`` nearest of one block as (-score, vec_id), nearest first."""
     qc, qs, qn = quantise(q)
@@ -78,17 +92,22 @@ def tile(q_ids, q, c_ids, c, k: int) -> list[list[tuple[float, int]]]:
     step = max(1, _PAIRS // max(1, len(c)))
     for lo in range(0, len(q), step):
         part = slice(lo, lo + step)
-        scales = qs[part, None] * cs[None, :]
-        middle = (qc[part].astype(right.dtype) @ right) * scales
-        error = (0.5 * (qn[part, None] + cn[None, :]) + slack) * scales * (1 + 1e-6)
         itself = q_ids[part, None] == c_ids[None, :]
-        lower = np.where(itself, -np.inf, middle - error)
+        with np.errstate(over="ignore", invalid="ignore"):
+            scales = qs[part, None] * cs[None, :]
+            middle = (qc[part].astype(right.dtype) @ right) * scales
+            # Beside the quantisation: what sums of very small products lose.
+            error = (0.5 * (qn[part, None] + cn[None, :]) + slack) * scales * (1 + 1e-6) + 2 * q.shape[1] * _TINY
+            upper, lower = middle + error, middle - error
+        # Without a finite bound nothing is known: such a pair survives and displaces none.
+        lower = np.where(itself | ~np.isfinite(lower), -np.inf, lower)
+        upper = np.where(np.isfinite(upper), upper, np.inf)
         most = min(k, lower.shape[1])
         cut = -np.partition(-lower, most - 1, axis=1)[:, most - 1]
-        i, j = np.nonzero((middle + error >= cut[:, None]) & ~itself)
+        i, j = np.nonzero((upper >= cut[:, None]) & ~itself)
         score = np.empty(len(i))
         for a in range(0, len(i), 1 << 16):
-            score[a : a + (1 << 16)] = (q[lo + i[a : a + (1 << 16)]] * c[j[a : a + (1 << 16)]]).sum(axis=1)
+            score[a : a + (1 << 16)] = products(q[lo + i[a : a + (1 << 16)]], c[j[a : a + (1 << 16)]])
         order = np.lexsort((c_ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         edges = np.searchsorted(i, np.arange(len(lower) + 1))
@@ -147,7 +166,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: in
 
     ``vectors`` and ``queries`` have vec_id and embedding; a query's own row is no candidate. Ties go to the smaller
     vec_id; with fewer candidates all are returned. Vectors that are null or zero or hold null or non-finite components
-    take no part; vectors of another length than the query's aren't compared with it. Ids are expected to be unique;
+    take no part; vectors of another length than the query's aren't compared with it. Ids of any whole type come as longs.
+    A product beyond the largest double is infinite, and such ones tie. Ids are expected to be unique;
     rows that repeat an id with an equal vector count once. Other columns are ignored.
     """
     v, q = usable(vectors).distinct(), usable(queries).distinct()
