@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from difflens.llm.common import slices, staged, text_column
 from difflens.llm.decontaminate import bitmap, in_bitmap
@@ -219,19 +220,21 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with texts in which base spans are replaced by their kind and disclosing words generalised or removed.
 
     Overlapping spans are replaced together, by the name of the first. A generalised word keeps its form only: letters
-    become ``x``, digits ``0``. Null texts stay null.
+    become ``x``, digits ``0``. Null texts stay null. All rows and columns stay, whatever the columns' names; no rows give
+    no rows.
     """
-    columns = docs.columns
     found = spans(docs.select("doc_id", "text"), **options).filter((F.size("base") > 0) | (F.size("terms") > 0))
-    found = staged(found.select("key", "base", "terms").dropDuplicates(["key"]), "replaced").withColumnRenamed("key", "_key")
-    marked = docs.withColumn("_key", _key()).join(found.select("_key", F.col("base").alias("_base"), F.col("terms").alias("_terms")), "_key", "left")
-    return marked.drop("_key").mapInArrow(_replace_batches, docs.schema).select(*columns)
+    found = staged(found.select("key", "base", "terms").dropDuplicates(["key"]), "replaced")
+    # The user's columns travel as one, so that theirs and ours can't clash.
+    marked = docs.select(_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, "key", "left")
+    return marked.select("row", "base", "terms").mapInArrow(_replace_batches, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def _replace_batches(batches):
     for batch in batches:
-        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        base, terms = columns.pop("_base"), columns.pop("_terms")
+        row, base, terms = (batch.column(i) for i in range(3))
+        names = [row.type.field(i).name for i in range(row.type.num_fields)]
+        columns = dict(zip(names, row.flatten()))
         rows = pc.indices_nonzero(base.is_valid())
         if len(rows):
             texts = columns["text"].to_pylist()
@@ -239,7 +242,7 @@ def _replace_batches(batches):
                 if texts[i] is not None:
                     texts[i] = replaced(texts[i], [(x["start"], x["kind"], x["end"]) for x in b], [(x["start"], x["end"], x["gone"]) for x in t])
             columns["text"] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(columns.values()), names)], ["row"])
 
 
 def replaced(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int, int, bool]]) -> str:
