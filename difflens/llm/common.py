@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_PIECE = 1 << 20
-_BASES = (0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -104,22 +101,23 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word, by differences of running sums of byte * base^position."""
-        out = np.empty(len(self), dtype=np.uint64)
-        lo = 0
-        while lo < len(self):
-            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + _PIECE)))
-            s, e = self.start[lo], self.end[hi - 1]
-            power, inverse = powers(which, int(e - s))
-            sums = np.zeros(e - s + 1, dtype=np.uint64)
-            np.cumsum((self.data[s:e].astype(np.uint64) + np.uint64(1)) * power[: e - s], out=sums[1:])
-            out[lo:hi] = (sums[self.end[lo:hi] - s] - sums[self.start[lo:hi] - s]) * inverse[self.start[lo:hi] - s]
-            lo = hi
-        return mix(out)
+    def hashes(self, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each word, the halves of its keyed 128-bit hash. Equal words are found by
+        their bytes, so each distinct word is hashed once."""
+        lengths = self.end - self.start
+        inside = np.zeros(len(self.data) + 1, dtype=np.int8)
+        inside[self.start] += 1
+        np.add.at(inside, self.end, -1)
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        kept = self.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(kept)]).dictionary_encode()
+        both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, key) for w in words.dictionary.to_pylist()), dtype=np.uint64).reshape(-1, 2)
+        of = words.indices.to_numpy()
+        return both[of, 0], both[of, 1]
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each run of ``k`` words within one text."""
+        """First word and hash of each run of ``k`` words within one text. Words' hashes that nobody can predict make
+        the runs' as good: unequal runs agree with a chance of 2^-64."""
         n = len(self) - k + 1
         if n <= 0:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
@@ -132,23 +130,6 @@ class Words:
         return at, mix(h[at])
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, kept for the usual length."""
-    kept = _POWERS.get(which)
-    if kept is None or len(kept[0]) < n:
-        n = max(n, _PIECE + 4096)
-        base = _BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, dtype=np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        kept = (both[0], both[1])
-        if n <= 2 * _PIECE:
-            _POWERS[which] = kept
-    return kept
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values (the public splitmix64 finaliser)."""
     h = h ^ (h >> np.uint64(30))

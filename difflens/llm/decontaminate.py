@@ -53,7 +53,7 @@ def _item_batches(batches, shingle):
     for whole in batches:
         for batch in slices(whole):
             words, rows = _words(batch), []
-            raw, hashes = words.data.tobytes(), words.hashes()
+            raw, hashes = words.data.tobytes(), words.hashes()[0]
             ids = batch.column("item_id").to_pylist()
             found = {k: words.windows(hashes, k) for k in range(1, shingle + 1)}
             for i, item in enumerate(ids):
@@ -127,7 +127,7 @@ def _hit_batches(batches, shared, widths):
             ids, texts = [], []
             if widths:
                 words = _words(batch)
-                raw, hashes = words.data.tobytes(), words.hashes()
+                raw, hashes = words.data.tobytes(), words.hashes()[0]
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
                 candidate = np.zeros(batch.num_rows, dtype=bool)
                 found = [(k, *words.windows(hashes, k)) for k in widths]

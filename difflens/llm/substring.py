@@ -6,13 +6,17 @@ with a smaller doc_id.
 Documents are packed into blocks, written once. Each block makes a count-min sketch of its windows; sketches are cut
 into slices by the windows' hash, and each slice is merged by one task, whose width follows the number of windows. A
 block gets back one bit for each cell it has touched: whether the merged count is two or more. Windows all of whose
-cells say so may repeat, all others can't. Only these are grouped exactly, by 96-bit keys, one entry for each block and
-key, and each entry gets back one bit: whether a document of another block comes first. No window is lost, frequent
-windows meet as one entry for each block, and only sketches, entries and bits are shuffled beside the blocks.
+cells say so may repeat, all others can't. Only these are grouped exactly, one entry for each block and key, and each entry gets
+back one bit: whether a document of another block comes first. No window is lost, frequent windows meet as one entry for
+each block, and only sketches, entries and bits are shuffled beside the blocks.
+
+A key is 96 bits made of the words' 128-bit hashes under a random key drawn for each run, so texts can't be made to collide,
+and two unequal windows share a key with a chance of 2^-96. Within a block equal words are told by their bytes.
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import partial
 
 import numpy as np
@@ -61,11 +65,12 @@ def _pack_batches(batches, k):
 class _Block:
     """The windows of a block: text and first word of each, and their hashes."""
 
-    def __init__(self, rows: bytes, texts: bytes, k: int, slices_: int, width: int):
+    def __init__(self, rows: bytes, texts: bytes, k: int, slices_: int, width: int, key: int):
         self.ids, self.at = _expand(rows, np.int64, np.int64)
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8)
         self.words = Words(data, self.at, ~SPACE[data])
-        self.start, self.hash = self.words.windows(self.words.hashes(0), k)
+        first, self.second = self.words.hashes(key)
+        self.start, self.hash = self.words.windows(first, k)
         self.slice = ((self.hash >> np.uint64(40)) % np.uint64(slices_)).astype(np.int64)
         self.width = width
         self.slices = slices_
@@ -96,7 +101,7 @@ class _Block:
     def entries(self, likely: np.ndarray, k: int):
         """Distinct keys of the likely windows by slice and value (high, low), each window's key, each key's first document."""
         high = self.hash[likely]
-        at, second = self.words.windows(self.words.hashes(1), k)
+        at, second = self.words.windows(self.second, k)
         low = (second[likely] >> np.uint64(32)).astype(np.uint32)
         doc = self.ids[np.searchsorted(self.words.first, self.start[likely], side="right") - 1]
         order = np.lexsort((doc, low, high, self.slice[likely]))
@@ -112,10 +117,10 @@ class _Block:
 _SLICED = "slice int, block long, data binary"
 
 
-def _sketch_batches(batches, k, slices_, width):
+def _sketch_batches(batches, k, slices_, width, key):
     for batch in batches:
         for block, rows, texts in zip(*(batch.column(c).to_pylist() for c in ("block", "rows", "texts"))):
-            b = _Block(rows, texts, k, slices_, width)
+            b = _Block(rows, texts, k, slices_, width, key)
             sketch = [b.cells(row) for row in range(len(_SEEDS))]
             edges = [np.searchsorted(distinct, np.arange(slices_ + 1) * width) for distinct, _, _ in sketch]
             out = []
@@ -152,10 +157,10 @@ def _merge_slice(group: pa.Table, width: int) -> pa.Table:
     return pa.Table.from_batches([_sliced(group.column("slice").to_pylist(), group.column("block").to_pylist(), [squeeze(np.packbits(np.concatenate(b)).tobytes()) for b in bits])])
 
 
-def _entry_batches(batches, k, slices_, width):
+def _entry_batches(batches, k, slices_, width, key):
     for batch in batches:
         for block, rows, texts, bits in zip(*(batch.column(c).to_pylist() for c in ("block", "rows", "texts", "bits"))):
-            b = _Block(rows, texts, k, slices_, width)
+            b = _Block(rows, texts, k, slices_, width, key)
             slice_, high, low, first, _, _ = b.entries(b.repeated(_by_slice(bits)), k)
             edges = np.searchsorted(slice_, np.arange(slices_ + 1))
             out = []
@@ -187,19 +192,19 @@ def _first_slice(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_sliced(group.column("slice").to_pylist(), group.column("block").to_pylist(), [squeeze(np.packbits(p).tobytes()) for p in parts])])
 
 
-def _cut_batches(batches, k, slices_, width):
+def _cut_batches(batches, k, slices_, width, key):
     for batch in batches:
         for rows, texts, bits, earlier in zip(*(batch.column(c).to_pylist() for c in ("rows", "texts", "bits", "earlier"))):
-            b = _Block(rows, texts, k, slices_, width)
+            b = _Block(rows, texts, k, slices_, width, key)
             likely = b.repeated(_by_slice(bits))
-            slice_, _, _, first, key, doc = b.entries(likely, k)
+            slice_, _, _, first, entry, doc = b.entries(likely, k)
             before = np.zeros(len(first), dtype=bool)
             edges = np.searchsorted(slice_, np.arange(slices_ + 1))
             for s, data in _by_slice(earlier).items():
                 own = slice(edges[s], edges[s + 1])
                 before[own] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=edges[s + 1] - edges[s])
             # A window goes if its key starts earlier in another block, or in a smaller document of this one.
-            yield from _cut(b, b.start[likely][before[key] | (first[key] < doc)], k)
+            yield from _cut(b, b.start[likely][before[entry] | (first[entry] < doc)], k)
 
 
 def _cut(b: _Block, start: np.ndarray, k: int):
@@ -242,7 +247,7 @@ def deduplicate(docs: DataFrame, k: int = 13) -> DataFrame:
     windows = blocks.agg(F.sum("windows")).first()[0] or 0
     n_slices = max(64, -(-windows // (1 << 22)))
     width = 1 << max(8, int(np.ceil(np.log2(max(1, 4 * windows / n_slices)))))
-    sizes = {"k": k, "slices_": n_slices, "width": width}
+    sizes = {"k": k, "slices_": n_slices, "width": width, "key": secrets.randbits(64)}
 
     def merge(group: pa.Table) -> pa.Table:
         return _merge_slice(group, width)
