@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,8 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only here: the other queries do without
+
     path = public_tokenizers.path(VOCABULARY)
     tokens = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)

@@ -258,6 +258,11 @@ def near_duplicates(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> Dat
 
 
 def keep_one(docs: DataFrame, max_bits: int = 3, shingle: int = 3) -> DataFrame:
-    """``docs`` without the documents of a component other than that with the smallest doc_id."""
-    kept = near_duplicates(docs, max_bits, shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """``docs`` without the documents of a component other than that with the smallest doc_id.
+
+    All rows of a kept doc_id stay, repeated ones too, with all columns; a doc_id whose rows have several texts stays if one
+    of them is the first of its component. Null and empty texts are one component. Rows without a doc_id stay. No rows
+    give no rows."""
+    found = near_duplicates(docs.select("doc_id", "text").filter("doc_id is not null"), max_bits, shingle)
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).filter("not first").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
