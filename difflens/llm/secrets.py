@@ -178,7 +178,7 @@ def dictionary(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
     words = staged(words, "words")
     # The counts, in steps of a hundredth, say from which count on to take words; no task sends more than it has of these.
     level = F.floor(F.log("n") * 100)
-    taken, chosen = 0, F.lit(False)
+    taken, whole, crossed = 0, None, F.lit(False)
     for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
         rest = size - taken
         if r.words > rest:
@@ -192,11 +192,11 @@ def dictionary(docs: DataFrame, size: int = 20_000) -> dict[str, int]:
                     break
                 rest -= f.words
                 at = f.part + 1
-            chosen = chosen | ((level == r.level) & (part < at))
+            crossed = (level == r.level) & (part < at)
             break
-        chosen = chosen | (level == r.level)
+        whole = r.level
         taken += r.words
-    top = words.filter(chosen).collect()
+    top = words.filter(crossed if whole is None else (level >= whole) | crossed).collect()
     return {r.term: i + 1 for i, r in enumerate(sorted(top, key=lambda r: (-r.n, r.term)))}
 
 
