@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from difflens.llm.common import SPACE, Words, mix, slices, staged, text_column, utf8
 
-_BLOCK = 8 << 20
+_BLOCK = 6 << 20
 _LAST = np.iinfo(np.int64).max
 _SEEDS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A62)
 
