@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..operators import admission, analytics, counts, files, findings, fixes, linking, report, scope
 from ..sources import corpus, landed, staging, store
+from ..streaming import reviews
 from . import oracle as O
 from . import presets
 from .catalog import query, ranked, reviewed_lines, seen, staged_findings, staged_lines
@@ -699,18 +700,26 @@ def local_review_sources(spark, sf_dir):
 ADMIT_LIMIT, ADMIT_SECONDS = 3, 86_400
 
 
-@query(
-    "rate_admission",
-    f"""SELECT user_id, CAST(sum(len(accepted)) AS BIGINT) AS accepted, max(n) AS events FROM (SELECT user_id, n,
-          list_reduce(list_transform(times, lambda t: [t]), lambda acc, t:
-            CASE WHEN len(list_filter(acc, lambda a: a > t[1] - {ADMIT_SECONDS * 1_000_000})) < {ADMIT_LIMIT} THEN list_append(acc, t[1]) ELSE acc END, []::BIGINT[]) AS accepted
-          FROM (SELECT user_id, count(*) AS n, list(epoch_us(ts) ORDER BY ts, event_id) AS times FROM events GROUP BY user_id)) GROUP BY user_id""",
-)
+def _admitted(key: str) -> str:
+    """Per event whether it is accepted, with the events of each ``key`` taken one by one."""
+    return f"""WITH walked AS (SELECT key, list_transform(list_reduce(list_transform(times, lambda t: [t]), lambda acc, t:
+            CASE WHEN len(list_filter(acc, lambda a: a.t > t[1].t - {ADMIT_SECONDS * 1_000_000})) < {ADMIT_LIMIT} THEN list_append(acc, t[1]) ELSE acc END,
+            []::STRUCT(t BIGINT, id BIGINT)[]), lambda a: a.id) AS accepted
+          FROM (SELECT {key} AS key, list({{'t': epoch_us(ts), 'id': event_id}} ORDER BY ts, event_id) AS times FROM events GROUP BY {key}))
+        SELECT e.key, ts, event_id, list_contains(accepted, event_id) AS accepted FROM (SELECT {key} AS key, ts, event_id FROM events) e JOIN walked USING (key)"""
+
+
+@query("rate_admission", _admitted("user_id"))
 def rate_admission(spark, sf_dir):
-    decided = admission.admit(
-        corpus.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", ADMIT_LIMIT, ADMIT_SECONDS
-    )
-    return decided.groupBy("user_id").agg(F.count_if("accepted").alias("accepted"), F.count("*").alias("events"))
+    events = corpus.table(spark, sf_dir, "events").withColumnRenamed("user_id", "key")
+    return admission.admit(events, "key", "ts", "event_id", ADMIT_LIMIT, ADMIT_SECONDS)
+
+
+@query("rate_admission_busy", _admitted("'site'"))
+def rate_admission_busy(spark, sf_dir):
+    """All events under one key that never pauses, in blocks of a few hundred."""
+    events = corpus.table(spark, sf_dir, "events").withColumn("key", F.lit("site"))
+    return admission.admit(events, "key", "ts", "event_id", ADMIT_LIMIT, ADMIT_SECONDS, block=256)
 
 
 @query(
@@ -719,9 +728,5 @@ def rate_admission(spark, sf_dir):
     "history",
 )
 def daily_reviews(spark, sf_dir):
-    """The batch form of the running analytics."""
-    return (
-        corpus.history_from_events(spark, sf_dir)
-        .groupBy(F.to_date("created_at").alias("day"))
-        .agg(F.count("*").alias("reviews"), F.sum("total").alias("issues"), F.round(F.avg("scope_score"), 1).alias("avg_score"))
-    )
+    """The running statistics, read once as a batch."""
+    return reviews.daily_statistics(corpus.history_from_events(spark, sf_dir))

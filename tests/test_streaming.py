@@ -1,6 +1,9 @@
+import collections
 import datetime as dt
 import json
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from difflens.operators import admission, findings
@@ -89,12 +92,46 @@ def test_admission_is_strict_and_ignores_rejected(spark):
     assert got == {0: True, 1: True, 2: False, 59: False, 60: True, 61: True, 200: True}
 
 
-def test_admission_splits_busy_keys(spark):
+def test_admission_equals_one_by_one(spark):
+    rng = random.Random(8)
     t0 = dt.datetime(2024, 1, 1)
-    rows = [("a", t0 + dt.timedelta(seconds=s), i) for i, s in enumerate([0, 10, 59, 119, 120, 300, 301, 420])]
-    df = spark.createDataFrame(rows, "key string, ts timestamp, n long").withColumn("us", F.unix_micros("ts"))
-    bursts = admission.split_at_pauses(df, 60_000_000).groupBy("burst").agg(F.sort_array(F.collect_list("n")).alias("n"))
-    assert sorted(r.n for r in bursts.collect()) == [[0, 1, 2], [3, 4], [5, 6], [7]]
+    rows = [(rng.choice(["a", "b", "c", None]), t0 + dt.timedelta(seconds=rng.randrange(400) * rng.choice([1, 1, 30])), i) for i in range(900)]
+    rows += [("a", None, 1000), ("only", None, 1001)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, n long").repartition(3)
+    for limit, seconds, block in ((3, 60, 7), (1, 1, 64), (10, 600, 1 << 16), (0, 60, 5)):
+        expected, walks = {}, {}
+        for k, t, n in sorted((r for r in rows if r[1] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
+            walker = walks.setdefault(k, admission.Admission(limit, seconds * 1_000_000))
+            expected[n] = walker.accept(round((t - t0).total_seconds() * 1e6))
+        got = {r.n: r.accepted for r in admission.admit(df, "k", "ts", "n", limit, seconds, block).collect()}
+        assert got == expected | {1000: False, 1001: False}
+
+
+def test_one_busy_key_is_shared_out(spark):
+    """Five million events of one key without a pause: many tasks pack and flag, and the walk steps over the rest."""
+    n = 5_000_000
+    events = spark.range(0, n, 1, 16).select(F.lit("busy").alias("k"), F.timestamp_micros(F.col("id") * 20_000).alias("ts"), F.col("id").alias("n"))
+    done = admission.admit(events, "k", "ts", "n", 10, 60)
+    # 50 events a second: ten are accepted at the start of each minute.
+    per_minute = done.filter("accepted").groupBy(F.expr("n div 3000").alias("minute")).agg(F.count("*").alias("c"), F.min("n").alias("first"))
+    rows = per_minute.collect()
+    assert len(rows) == -(-n // 3000) and all(r.c == 10 and r["first"] == r.minute * 3000 for r in rows)
+    numbered = spark.range(0, 4 * admission.BLOCK).select(F.lit("k").alias("key"), F.col("id").alias("_id"), F.col("id").alias("us"))
+    assert admission.blocks_of(numbered).select(F.size("events")).distinct().first()[0] == admission.BLOCK
+    assert admission.blocks_of(numbered).count() == 4
+
+
+def test_the_walk_steps_from_accepted_to_accepted():
+    class Counted(np.ndarray):
+        reads = 0
+
+        def __getitem__(self, i):
+            Counted.reads += not isinstance(i, slice)
+            return super().__getitem__(i)
+
+    times = np.arange(1_000_000, dtype=np.int64).view(Counted)
+    found = admission.walk(times, collections.deque(maxlen=5), 100_000)
+    assert found == [100_000 * i + j for i in range(10) for j in range(5)] and Counted.reads < 200
 
 
 def test_daily_statistics_stream(spark, tmp_path):
