@@ -1,8 +1,8 @@
 """Apply suggested fixes to a table of source lines; the result is a new version of the table.
 
 Almost every fix meets the line it was made for and is a column expression.
-Only lines with several fixes, or that changed since, replay the edits one
-after another in a small Python helper.
+Lines with several fixes, or that changed since, are split off, and only they
+go through Python, which replays the edits one after another.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions import text as T
+from ..functions import values as V
+from ..sources import staging
 
 LINE = ["pr_id", "path", "line_no"]
 
@@ -40,10 +42,6 @@ def _replay(current: str, original: str, fixed: str) -> tuple[str, str]:
 def _replay_all(content: pd.Series, fixes: pd.Series) -> pd.DataFrame:
     texts, statuses = [], []
     for text, todo in zip(content, fixes):
-        if todo is None:
-            texts.append(None)
-            statuses.append(None)
-            continue
         done = []
         for fix in todo:
             status, text = _replay(text, fix["original_line"], fix["suggested_fix"])
@@ -65,32 +63,26 @@ def _merged(lines: DataFrame, fixes: DataFrame) -> DataFrame:
         .withColumn("only", F.get(F.col("fixes"), F.lit(0)))
     )
     fits = (F.size("fixes") == 1) & (T.strip(F.col("content")) == T.strip(F.col("only.original_line")))
-    hard = F.col("content").isNotNull() & ~fits
-    return (
-        met.withColumn("fits", F.coalesce(fits, F.lit(False)))
-        .withColumn("replayed", _replay_all(F.when(hard, F.col("content")), F.when(hard, F.col("fixes"))))
-        .withColumn(
-            "new_content",
-            F.when(F.col("fits"), F.regexp_replace("only.suggested_fix", "[\r\n]+$", "")).otherwise(F.col("replayed.content")),
-        )
-    )
+    hard = F.col("content").isNotNull() & ~F.coalesce(fits, F.lit(False))
+    placed = staging.stage(met.withColumn("hard", hard), "fixes")
+    easy = placed.filter("not hard").withColumn("statuses", F.when(F.col("content").isNotNull(), F.array(F.lit("ok"))))
+    easy = easy.withColumn("new_content", F.when(F.col("content").isNotNull(), F.regexp_replace("only.suggested_fix", "[\r\n]+$", "")))
+    replayed = placed.filter("hard").withColumn("replayed", _replay_all("content", "fixes"))
+    replayed = replayed.select("*", F.col("replayed.statuses").alias("statuses"), F.col("replayed.content").alias("new_content")).drop("replayed")
+    return easy.unionByName(replayed).drop("only", "hard")
 
 
 def apply_fixes(lines: DataFrame, fixes: DataFrame) -> DataFrame:
     """``fixes(pr_id, path, line_no, fix_ord, rule_id, original_line, suggested_fix)`` on
     ``lines(pr_id, path, line_no, content)`` → status of every fix and the line's new text:
-    ``ok``, ``conflict`` (the line changed and the edit cannot be replayed), ``out_of_range``
-    or ``file_missing``."""
+    ``ok``, ``conflict`` (the line changed and the edit cannot be replayed, which its ``message`` says),
+    ``out_of_range`` or ``file_missing``."""
     unplaced = F.when(F.col("n_lines").isNull(), "file_missing").when(F.col("content").isNull(), "out_of_range")
-    merged = _merged(lines, fixes)
-    return merged.select(*LINE, "new_content", "fits", "replayed", unplaced.alias("unplaced"), F.posexplode("fixes").alias("i", "fix")).select(
-        *LINE,
-        F.col("fix.fix_ord").alias("fix_ord"),
-        F.col("fix.rule_id").alias("rule_id"),
-        F.coalesce(
-            "unplaced", F.when(F.col("fits"), "ok").otherwise(F.get(F.col("replayed.statuses"), F.col("i")))
-        ).alias("status"),
-        "new_content",
+    status = F.coalesce(unplaced, F.get(F.col("statuses"), F.col("i")))
+    rows = _merged(lines, fixes).select("*", F.posexplode("fixes").alias("i", "fix"))
+    return rows.select(
+        *LINE, F.col("fix.fix_ord").alias("fix_ord"), F.col("fix.rule_id").alias("rule_id"), status.alias("status"), "new_content",
+        F.when(status == "conflict", V.FIX_CONFLICT).alias("message"),
     )
 
 

@@ -627,27 +627,36 @@ def review_history(spark, sf_dir):
 
 # ------------------------------------------------------- fixes, scan, admission
 def _fixes(spark, sf_dir):
-    """Suggested fixes; some aim at a line that changed since, at no line, or at no file."""
+    """Suggested fixes; some aim at a line that changed since, at no line, or at no file, and some lines have two."""
     found = staged_findings(spark, sf_dir).filter(F.col("suggested_fix").isNotNull())
     aim = F.col("line_no") % 50
-    return found.select(
+    first = found.select(
         "pr_id",
         F.when(aim == 7, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"),
         F.when(aim == 9, F.col("line_no") + 1_000_000).otherwise(F.col("line_no")).alias("line_no"),
         F.concat_ws("|", F.lpad(F.col("rule_ord").cast("string"), 2, "0"), F.col("emit_sub").cast("string")).alias("fix_ord"),
         "rule_id",
-        "original_line",
-        "suggested_fix",
+        F.when(aim == 13, "ÄÖ").otherwise(F.col("original_line")).alias("original_line"),
+        F.when(aim == 13, "ÄÜ").otherwise(F.col("suggested_fix")).alias("suggested_fix"),
     )
+    then = found.filter(aim == 11).select(
+        "pr_id", "path", "line_no", F.lit("later").alias("fix_ord"), F.lit("SECOND").alias("rule_id"),
+        F.col("suggested_fix").alias("original_line"), F.concat("suggested_fix", F.lit(" // ok")).alias("suggested_fix"),
+    )
+    return first.unionByName(then)
 
 
 @query(
     "apply_fixes",
-    """SELECT pr_id, CASE WHEN aim = 7 THEN path || '.gone' ELSE path END AS path, CASE WHEN aim = 9 THEN line_no + 1000000 ELSE line_no END AS line_no,
-        rule_id, CASE WHEN aim = 7 THEN 'file_missing' WHEN aim = 9 THEN 'out_of_range' ELSE 'ok' END AS status,
-        CASE WHEN aim NOT IN (7, 9) THEN suggested_fix END AS new_content
-       FROM (SELECT *, line_no % 50 AS aim, count(*) OVER (PARTITION BY pr_id, path, line_no) AS n FROM findings WHERE suggested_fix IS NOT NULL) WHERE n = 1""",
-    "findings",
+    f"""SELECT pr_id, CASE WHEN aim = 7 THEN path || '.gone' ELSE path END AS path, CASE WHEN aim = 9 THEN line_no + 1000000 ELSE line_no END AS line_no,
+        rule_id, CASE aim WHEN 7 THEN 'file_missing' WHEN 9 THEN 'out_of_range' WHEN 13 THEN 'conflict' ELSE 'ok' END AS status,
+        CASE WHEN aim = 13 THEN content WHEN aim = 11 THEN suggested_fix || ' // ok' WHEN aim NOT IN (7, 9) THEN suggested_fix END AS new_content,
+        CASE WHEN aim = 13 THEN {O.lit(V.FIX_CONFLICT)} END AS message
+       FROM aimed JOIN lines USING (pr_id, file_idx, path, line_no)
+       UNION ALL SELECT pr_id, path, line_no, 'SECOND', 'ok', suggested_fix || ' // ok', NULL FROM aimed WHERE aim = 11""",
+    "aimed",
+    "lines",
+    extra={"aimed": (("findings",), "SELECT *, line_no % 50 AS aim FROM findings WHERE suggested_fix IS NOT NULL")},
 )
 def apply_fixes(spark, sf_dir):
     todo = _fixes(spark, sf_dir)

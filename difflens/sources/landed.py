@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import richtext
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import diff
+from . import tree
 
 # Everything that ends a line of a source file; a break at the very end opens no line.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -32,10 +34,6 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _any_case(suffix: str) -> str:
-    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
-
-
 def scanned_file(path: Column) -> Column:
     """Whether a full scan takes the file."""
     name = F.substring_index(path, "/", -1)
@@ -50,23 +48,11 @@ def scanned_file(path: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Source files below ``root/<repository>/`` → ``sources(pr_id, repo, path, text)``."""
-    glob = "*{" + ",".join(_any_case(s) for s in V.REVIEWABLE_SUFFIXES) + "}"
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
-    base = root.rstrip("/") + "/"
-    relative = F.substring_index(F.col("path"), base, -1)
-    repo = F.substring_index(relative, "/", 1)
-    return raw.select(
-        F.xxhash64(repo).alias("pr_id"),
-        repo.alias("repo"),
-        F.substring(relative, F.char_length(repo) + 2, F.char_length(relative)).alias("path"),
-        _utf8(F.col("content")).alias("text"),
-    ).filter(scanned_file(F.col("path")))
+    """Source files below ``root/<repository>/`` → ``sources(pr_id, repo, path, text)``; excluded folders are not entered."""
+    tree.register(spark)
+    uri = root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
+    raw = spark.read.format(tree.SourceTree.name()).load(uri)
+    return raw.select(F.xxhash64("repo").alias("pr_id"), "repo", "path", _utf8(F.col("content")).alias("text"))
 
 
 def scan_lines(sources: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from conftest import changed_lines
 from pyspark.sql import functions as F
 
 from difflens.functions import text as T
+from difflens.functions import values as V
 from difflens.operators import counts, findings, fixes, linking, scope
 from difflens.plans import presets
 
@@ -151,6 +152,8 @@ def test_fixes(spark):
         ("a.cs", 1, 1): "ok", ("a.cs", 1, 2): "ok", ("a.cs", 2, 1): "conflict", ("a.cs", 3, 1): "ok",
         ("a.cs", 9, 1): "out_of_range", ("b.cs", 1, 1): "file_missing",
     }
+    told = {r.status: r.message for r in fixes.apply_fixes(lines, df).collect()}
+    assert told == {"ok": None, "out_of_range": None, "file_missing": None, "conflict": V.FIX_CONFLICT}
     after = {r.line_no: r.content for r in fixes.fixed_lines(lines, df).collect()}
     assert after == {1: "\tint userID = x;", 2: "  changed();", 3: "int custID = f();", 4: "x"}
 

@@ -3,9 +3,10 @@ import json
 from pyspark.sql import functions as F
 
 from difflens.functions import richtext
+from difflens.functions import values as V
 from difflens.operators import findings
 from difflens.plans import presets
-from difflens.sources import landed
+from difflens.sources import landed, tree
 
 
 def test_read_diffs_replaces_bad_bytes_and_unifies_line_ends(spark, tmp_path):
@@ -31,6 +32,26 @@ def test_scan(spark, tmp_path):
     assert {r.rule_id for r in findings.find(lines).collect()} >= {"SQL-FMT-002", "TS-001"}
 
 
+def test_excluded_folders_are_not_entered(spark, tmp_path, monkeypatch):
+    for repo in ("one", "two"):
+        for folder in ("src/deep", "node_modules/x/y", "src/bin"):
+            (tmp_path / repo / folder).mkdir(parents=True)
+            for i in range(20):
+                (tmp_path / repo / folder / f"f{i}.cs").write_text("x")
+        (tmp_path / repo / ".cs").write_text("a name, not a suffix")
+    (tmp_path / "loose.cs").write_text("not in a repository")
+    reader = tree.TreeReader(f"file://{tmp_path}", tuple(V.SCAN_EXCLUDED_FOLDERS))
+    seen = []
+    listed = tree.TreeReader._children
+    monkeypatch.setattr(tree.TreeReader, "_children", lambda self, system, folder: seen.append(folder) or listed(self, system, folder))
+    assert sorted(p.value for p in reader.partitions()) == ["one", "two"]
+    assert sorted(path for _, path, _ in reader.read(tree.Repository("one"))) == sorted(f"src/deep/f{i}.cs" for i in range(20))
+    assert not any("node_modules" in s or s.endswith("bin") for s in seen) and len(seen) == 4
+    df = landed.read_tree(spark, str(tmp_path))
+    assert df.count() == 40 and df.rdd.getNumPartitions() == 2
+    assert df.filter(~landed.scanned_file(F.col("path"))).count() == 0
+
+
 def test_bin_in_a_file_name_is_not_a_folder(spark):
     df = spark.createDataFrame([("cabin/x.cs",), ("Bin/x.cs",), ("a/bin/x.cs",)], "path string")
     assert [r.path for r in df.filter(landed.scanned_file(F.col("path"))).collect()] == ["cabin/x.cs", "Bin/x.cs"]
@@ -40,9 +61,10 @@ def test_local_review_prefers_the_diff(spark):
     text = "diff --git a/a.ts b/a.ts\n+++ b/a.ts\n@@ -1 +1 @@\n+console.log(1)\n"
     diffs = spark.createDataFrame([(1, text), (2, " \n")], "pr_id long, diff_text string")
     sources = spark.createDataFrame([(n, "b.ts", "const x: any = 1") for n in (1, 2)], "pr_id long, path string, text string")
-    got = presets.local_review(diffs, sources)
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "pr_id long, folder_name string").withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+    got = presets.local_review(diffs, sources, asked)
     assert sorted((r.pr_id, r.rule_id) for r in got["findings"].collect()) == [(1, "TS-001"), (2, "TS-003")]
-    asked = spark.createDataFrame([(1,), (2,), (3,)], "pr_id long")
+    assert [r.pr_id for r in got["nothing"].collect()] == [3]
     assert [r.pr_id for r in landed.without_files(asked, got["lines"]).collect()] == [3]
 
 
