@@ -411,32 +411,23 @@ def landed_prs(spark, sf_dir):
     return landed.parse_prs(docs).drop("created_at", "updated_at")
 
 
-TURNS_PER_DOCUMENT = 200
-
-
 @query(
     "issue_text",
     # A document joins its paragraphs with blanks; each paragraph holds one text.
-    f"SELECT conv_id, turn // {TURNS_PER_DOCUMENT} AS part, regexp_replace(string_agg(text, ' ' ORDER BY turn, role, text), '^\\s+|\\s+$', '', 'g') "
-    "AS description FROM conversations GROUP BY ALL",
+    "SELECT conv_id, turn, role, regexp_replace(replace(coalesce(text, ''), '. ', ' '), '^\\s+|\\s+$', '', 'g') AS description FROM conversations",
 )
 def issue_text(spark, sf_dir):
-    """Conversations as rich-text documents of at most so many turns, and their plain text."""
-    paragraph = F.struct(
-        F.lit("paragraph").alias("type"),
-        F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"),
-    )
-    turns = corpus.table(spark, sf_dir, "conversations").select(
-        "conv_id", F.expr(f"turn div {TURNS_PER_DOCUMENT}").alias("part"), F.struct("turn", "role", "text", paragraph.alias("p")).alias("t")
-    )
-    docs = turns.groupBy("conv_id", "part").agg(
-        F.to_json(
-            F.struct(
-                F.lit("doc").alias("type"), F.transform(F.array_sort(F.collect_list("t")), lambda t: t["p"]).alias("content")
-            )
-        ).alias("doc")
-    )
-    return docs.select("conv_id", "part", richtext.rich_text(F.col("doc")).alias("description"))
+    """Each turn as a rich-text document with a paragraph a sentence, and its plain text."""
+
+    def paragraph(sentence):
+        return F.struct(
+            F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), sentence.alias("text"))).alias("content")
+        )
+
+    sentences = F.split("text", r"\. ")
+    doc = F.to_json(F.struct(F.lit("doc").alias("type"), F.transform(sentences, paragraph).alias("content")))
+    turns = corpus.table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", "role", richtext.rich_text(doc).alias("description"))
 
 
 @query(

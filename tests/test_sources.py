@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -76,10 +77,34 @@ def nest(depth):
 
 
 def plain(node):
+    if not isinstance(node, dict):
+        return ""
     if node.get("type") == "text":
-        return node.get("text", "")
+        value = node.get("text")
+        return json.dumps(value) if isinstance(value, (int, float)) else value if isinstance(value, str) else ""
     sep = "\n" if node.get("type") in ("paragraph", "heading", "bulletList", "listItem") else " "
-    return sep.join(plain(c) for c in node.get("content", []))
+    children = node.get("content")
+    return sep.join(plain(c) for c in children) if isinstance(children, list) else ""
+
+
+def test_rich_text_is_read_alike_at_every_depth(spark):
+    rng = random.Random(6)
+
+    def tree(depth):
+        loose = rng.choice(["hi", None, 7, [], {}, {"type": None}, {"text": "no type"}, {"type": "text"}, {"type": "text", "text": None}, {"type": "text", "text": 12},
+                            {"type": "text", "text": True}, {"type": "text", "text": ["x"]}, {"type": 3, "content": [{"type": "text", "text": "odd"}]}, {"type": "paragraph", "content": "no list"}])
+        if depth == 0:
+            return loose
+        kids = [tree(depth - 1), loose, {"type": "text", "text": f"t{depth}"}]
+        rng.shuffle(kids)
+        return {"type": rng.choice(["doc", "paragraph", "heading", "listItem", "x", None]), "content": kids}
+
+    trees = [tree(d) for d in range(1, 41) for _ in range(3)] + [nest(d) for d in (200, 300)]
+    rows = [(i, json.dumps(t)) for i, t in enumerate(trees)]
+    df = spark.createDataFrame(rows, "i int, doc string").select("i", richtext.rich_text(F.col("doc")).alias("t"))
+    assert {r.i: r.t for r in df.collect()} == {i: plain(t).strip() for i, t in enumerate(trees)}
+    deep = '{"type":"x","content":[' * 3000 + "]}" * 3000
+    assert spark.createDataFrame([(deep,)], "doc string").select(richtext.rich_text(F.col("doc")).alias("t")).first().t == ""
 
 
 def test_rich_text(spark):
