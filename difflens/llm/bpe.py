@@ -30,7 +30,7 @@ _FAR = np.int64(1 << 40)
 _NEVER = 1 << 40
 _SHORT = 48
 #: Words of one generation of the memo; the generation before is kept, so that frequent words stay.
-_MEMO = 200_000
+_MEMO = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -243,6 +243,7 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
 
 
 def _encode_batches(batches, shared):
+    pa.default_memory_pool().release_unused()  # a worker that is used again holds what other work has freed
     codec = shared.value
     for whole in batches:
         for batch in slices(whole, 1 << 20):

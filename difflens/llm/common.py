@@ -51,7 +51,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return column.cast(pa.string()).fill_null("") if column.null_count or column.type != pa.string() else column
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, most: int = 1 << 20):
     """Runs of rows of at most ``most`` bytes (a longer row is a run of its own), so that arrays stay small."""
     lengths = np.diff(offsets(text_column(batch)))
     start, held = 0, 0
