@@ -2,118 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from . import files, ordered
+from . import ordered
 from .ordered import FILE
-from .registry import FINDING_COLUMNS, GROUP_ORDER, SUB_STEP, finding_struct, with_language
-
-FILE_RULES = {
-    "SEC-001", "GEN-001", "SQL-BP-005", "CS-STYLE-003", "SQL-FMT-002", "GEN-004", "TS-002", "TS-004",
-}
-
-
-def _finish(rows: DataFrame, struct) -> DataFrame:
-    return rows.select("pr_id", "file_idx", "path", "line_no", F.inline(F.array(struct))).select(*FINDING_COLUMNS)
-
-
-def _fixed(rule_id, group, phase, pos, sub, *parts, template=None, original=None):
-    severity, text = V.RULES[rule_id]
-    return finding_struct(
-        rule_id, GROUP_ORDER[group], phase, pos, sub, severity, T.fill(template or text, *parts), original
-    )
-
-
-def whole_file_findings(lines: DataFrame, rule_ids: set) -> DataFrame | None:
-    """SEC-001, GEN-001 and SQL-BP-005: one grouped pass, combined before the shuffle."""
-    langs = set()
-    if "SEC-001" in rule_ids:
-        langs |= {"cs", "sql", "config"}
-    if "GEN-001" in rule_ids:
-        langs |= {"cs", "sql"}
-    if "SQL-BP-005" in rule_ids:
-        langs |= {"sql"}
-    if not langs:
-        return None
-    content = F.col("content")
-    sql = F.col("lang") == "sql"
-    upper = F.upper(content)
-    odd = ~T.is_ascii(content)
-    begins = sql & (F.contains(upper, F.lit("BEGIN")) | odd) & T.matches(content, V.BEGIN_TRAN, True)
-    ends = sql & (F.contains(upper, F.lit("ROLLBACK")) | odd) & T.matches(content, V.ROLLBACK, True)
-    per_file = (
-        lines.filter(F.col("lang").isin(*sorted(langs)))
-        .groupBy(*FILE, "path")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("line_no").alias("first_line"),
-            F.min(F.when(begins, F.col("line_no"))).alias("begin_line"),
-            F.bool_or(ends).alias("rolled_back"),
-        )
-    )
-    null = F.lit(None).cast("bigint")
-    at = F.lit(0)
-
-    def row(line, struct):
-        return F.struct(line.alias("line_no"), *[struct[c].alias(c) for c in FINDING_COLUMNS[4:]])
-
-    wanted = {
-        "SEC-001": (
-            files.has_suffix(F.col("path"), V.RULE_GROUPS[7][1]) & T.matches(F.col("path"), V.SENSITIVE_FILE, True),
-            F.col("first_line"),
-            _fixed("SEC-001", "SecurityRules", 0, at, 0),
-        ),
-        "GEN-001": (
-            files.has_suffix(F.col("path"), V.RULE_GROUPS[8][1]) & (F.col("n") > V.LARGE_CHANGE_LINES),
-            F.col("first_line"),
-            _fixed("GEN-001", "GeneralQualityRules", 0, at, 0, F.col("n")),
-        ),
-        "SQL-BP-005": (
-            F.col("begin_line").isNotNull() & ~F.col("rolled_back"),
-            F.col("begin_line"),
-            _fixed("SQL-BP-005", "SqlPerformanceRules", 0, at, 0),
-        ),
-    }
-    hits = [F.when(test, row(line, struct)) for rid, (test, line, struct) in wanted.items() if rid in rule_ids]
-    return (
-        per_file.select(*FILE, "path", F.inline(F.array(*hits)))
-        .filter(F.col("rule_id").isNotNull())
-        .select(*FINDING_COLUMNS)
-    )
-
-
-def braceless_control_flow(lines: DataFrame) -> DataFrame:
-    """CS-STYLE-003. The body must be the very next line number, so this is an equi-join."""
-    text = T.strip(F.col("content"))
-    cs = lines.filter(F.col("lang") == "cs")
-    heads = cs.filter(T.matches(text, V.BARE_CONTROL_FLOW)).select(*FILE, "path", "line_no")
-    no_body = (text == "") | F.startswith(text, F.lit("{")) | F.startswith(text, F.lit("//"))
-    bodies = cs.filter(~no_body).select(*FILE, (F.col("line_no") - 1).alias("line_no"))
-    hits = heads.join(bodies, [*FILE, "line_no"], "left_semi")
-    return _finish(hits, _fixed("CS-STYLE-003", "CSharpStyleRules", 1, F.col("line_no"), 3 * SUB_STEP))
-
-
-def double_blank_lines(lines: DataFrame, size: int = ordered.DEFAULT_RANGE) -> DataFrame:
-    """SQL-FMT-002: a blank line whose previous changed line is blank as well."""
-    blank = T.strip(F.col("content")) == ""
-    sql = lines.filter(F.col("lang") == "sql").select(*FILE, "path", "line_no", blank.alias("blank"))
+from .registry import File, FileHit, Found, file_rule, window_rule
+
+
+# ------------------------------------------------------------- whole files
+@file_rule("SEC-001", "SecurityRules")
+def sensitive_file(f: File) -> FileHit:
+    return FileHit(T.matches(f.path, V.SENSITIVE_FILE, True))
+
+
+@file_rule("GEN-001", "GeneralQualityRules")
+def large_change(f: File) -> FileHit:
+    return FileHit(f.n_lines > V.LARGE_CHANGE_LINES, (f.n_lines,))
+
+
+def _word(content: Column, word: str, pattern: str) -> Column:
+    return (F.contains(F.upper(content), F.lit(word)) | ~T.is_ascii(content)) & T.matches(content, pattern, True)
+
+
+@file_rule(
+    "SQL-BP-005",
+    "SqlPerformanceRules",
+    flags={
+        "begins": lambda ln: _word(ln.content, "BEGIN", V.BEGIN_TRAN),
+        "ends": lambda ln: _word(ln.content, "ROLLBACK", V.ROLLBACK),
+    },
+    measures=lambda flag: {
+        "begin_line": F.min(F.when(flag("begins"), F.col("line_no"))),
+        "rolled_back": F.bool_or(flag("ends")),
+    },
+)
+def transaction_without_rollback(f: File) -> FileHit:
+    begin = f.measured["begin_line"]
+    return FileHit(begin.isNotNull() & ~f.measured["rolled_back"], line=begin)
+
+
+# ---------------------------------------------------- neighbours and runs
+@window_rule(
+    "CS-STYLE-003",
+    "CSharpStyleRules",
+    branch=3,
+    flags={
+        "head": lambda ln: T.matches(ln.text, V.BARE_CONTROL_FLOW),
+        "body": lambda ln: ~((ln.text == "") | F.startswith(ln.text, F.lit("{")) | F.startswith(ln.text, F.lit("//"))),
+    },
+)
+def braceless_control_flow(lines: DataFrame, size: int):
+    """The body must be the very next line number, so this is an equi-join."""
+    heads = lines.filter("head").select(*FILE, "path", "line_no")
+    bodies = lines.filter("body").select(*FILE, (F.col("line_no") - 1).alias("line_no"))
+    return heads.join(bodies, [*FILE, "line_no"], "left_semi"), Found(F.lit(True))
+
+
+@window_rule("SQL-FMT-002", "SqlFormattingRules", branch=2, flags={"blank": lambda ln: ln.text == ""})
+def double_blank_lines(lines: DataFrame, size: int):
+    """A blank line whose previous changed line is blank as well."""
+    sql = lines.select(*FILE, "path", "line_no", "blank")
     some = ordered.only_files_with(sql, F.col("blank"), 2)
-    hits = ordered.with_previous(some, "line_no", F.col("blank"), "blank_before", size).filter(
-        F.col("blank") & F.col("blank_before")
-    )
-    return _finish(hits, _fixed("SQL-FMT-002", "SqlFormattingRules", 1, F.col("line_no"), 2 * SUB_STEP))
-
-
-def commented_code_runs(lines: DataFrame, size: int = ordered.DEFAULT_RANGE) -> DataFrame:
-    """GEN-004: runs of at least three commented-out lines; a run that closes the file has a shorter text."""
-    text = T.strip(F.col("content"))
-    dead = F.startswith(text, F.lit("//")) & T.matches(text, V.COMMENTED_CODE)
-    cs = lines.filter((F.col("lang") == "cs") & F.endswith("path", F.lit(".cs"))).select(
-        *FILE, "path", "line_no", dead.alias("dead")
-    )
+    hits = ordered.with_previous(some, "line_no", F.col("blank"), "blank_before", size)
+    return hits.filter(F.col("blank") & F.col("blank_before")), Found(F.lit(True))
+
+
+@window_rule(
+    "GEN-004",
+    "GeneralQualityRules",
+    branch=3,
+    suffixes=[".cs"],
+    flags={"dead": lambda ln: F.startswith(ln.text, F.lit("//")) & T.matches(ln.text, V.COMMENTED_CODE)},
+)
+def commented_code_runs(lines: DataFrame, size: int):
+    """Runs of at least three commented-out lines; a run that closes the file has a shorter text."""
+    cs = lines.filter(F.endswith("path", F.lit(".cs"))).select(*FILE, "path", "line_no", "dead")
     placed = ordered.with_position(ordered.only_files_with(cs, F.col("dead"), V.COMMENTED_RUN_LINES), size=size)
     dead_lines = placed.filter("dead").withColumn("range_no", F.expr(f"idx div {int(size)}"))
     inside = Window.partitionBy(*FILE, "range_no").orderBy("idx")
@@ -140,45 +106,55 @@ def commented_code_runs(lines: DataFrame, size: int = ordered.DEFAULT_RANGE) ->
     )
     after = placed.select(*FILE, "idx", F.col("line_no").alias("line_after"))
     hits = runs.join(after, [*FILE, "idx"], "left")
-    in_file = _fixed("GEN-004", "GeneralQualityRules", 1, F.col("line_after"), 3 * SUB_STEP, F.col("n"))
-    at_end = _fixed(
-        "GEN-004", "GeneralQualityRules", 2, F.lit(0), 0, F.col("n"), template=V.GEN_004_AT_FILE_END
-    )
-    return _finish(hits, F.when(F.col("line_after").isNotNull(), in_file).otherwise(at_end))
-
-
-def await_without_try(lines: DataFrame, size: int = ordered.DEFAULT_RANGE) -> DataFrame:
-    """TS-002. ``try`` and its brace may stand on different lines with only blank lines between."""
-    ts = lines.filter(F.col("lang") == "ts")
-    content = F.col("content")
-    text = T.strip(content)
-    comment = F.startswith(text, F.lit("//")) | F.startswith(text, F.lit("*"))
-    awaits = ts.filter(F.contains(content, F.lit("await")) & T.matches(content, V.AWAIT) & ~comment)
-    opener = F.endswith(text, F.lit("try")) & T.matches(text, r"\btry$")
-    on_one_line = ts.filter(F.contains(content, F.lit("try")) & T.matches(content, V.TRY_BLOCK)).select(*FILE)
-    full = ts.filter(text != "").select(
-        *FILE, "ord", opener.alias("opener"), F.startswith(text, F.lit("{")).alias("brace")
-    )
+    at_end = F.col("line_after").isNull()
+    return hits, [
+        Found(~at_end, (F.col("n"),), pos=F.col("line_after")),
+        Found(at_end, (F.col("n"),), pos=F.lit(0), phase=2, template=V.GEN_004_AT_FILE_END),
+    ]
+
+
+@window_rule(
+    "TS-002",
+    "TypeScriptAsyncWithoutTryCatchRule",
+    flags={
+        "awaits": lambda ln: F.contains(ln.content, F.lit("await"))
+        & T.matches(ln.content, V.AWAIT)
+        & ~(F.startswith(ln.text, F.lit("//")) | F.startswith(ln.text, F.lit("*"))),
+        "block": lambda ln: F.contains(ln.content, F.lit("try")) & T.matches(ln.content, V.TRY_BLOCK),
+        "full": lambda ln: ln.text != "",
+        "opener": lambda ln: F.endswith(ln.text, F.lit("try")) & T.matches(ln.text, r"\btry$"),
+        "brace": lambda ln: F.startswith(ln.text, F.lit("{")),
+    },
+)
+def await_without_try(lines: DataFrame, size: int):
+    """``try`` and its brace may stand on different lines with only blank lines between."""
+    full = lines.filter("full").select(*FILE, "ord", "opener", "brace")
     split_try = (
         ordered.with_previous(ordered.only_files_with(full, F.col("opener")), "ord", F.col("opener"), "after_try", size)
         .filter(F.col("brace") & F.col("after_try"))
         .select(*FILE)
     )
-    hits = awaits.join(on_one_line.unionByName(split_try), FILE, "left_anti")
-    return _finish(
-        hits,
-        _fixed("TS-002", "TypeScriptAsyncWithoutTryCatchRule", 1, F.col("ord"), SUB_STEP, original=T.rstrip(content)),
-    )
+    safe = lines.filter("block").select(*FILE).unionByName(split_try)
+    hits = lines.filter("awaits").join(safe, FILE, "left_anti")
+    return hits, Found(F.lit(True), pos=F.col("ord"), original=T.rstrip(F.col("content")))
+
 
+# ----------------------------------------------------------------- imports
+def _listed(content: Column) -> Column:
+    return T.extract(T.strip(content), V.NAMED_IMPORT, 1)
 
-def unused_imports(lines: DataFrame) -> DataFrame:
-    """TS-004: imported names that occur at most once in the file's changed lines."""
-    ts = lines.filter(F.col("lang") == "ts")
+
+@window_rule(
+    "TS-004",
+    "TypeScriptUnusedImportRule",
+    flags={"imports": lambda ln: F.contains(ln.content, F.lit("import")) & (_listed(ln.content) != "")},
+)
+def unused_imports(ts: DataFrame, size: int):
+    """Imported names that occur at most once in the file's changed lines."""
     content = F.col("content")
-    listed = T.extract(T.strip(content), V.NAMED_IMPORT, 1)
     imports = (
-        ts.filter(F.contains(content, F.lit("import")) & (listed != ""))
-        .select(*FILE, "path", "line_no", "ord", "content", F.posexplode(F.split(listed, ",")).alias("nth", "item"))
+        ts.filter("imports")
+        .select(*FILE, "path", "line_no", "ord", "content", F.posexplode(F.split(_listed(content), ",")).alias("nth", "item"))
         .withColumn("name", T.strip(F.substring_index(T.strip(F.col("item")), " as ", 1)))
         .filter(F.col("name") != "")
     )
@@ -212,28 +188,6 @@ def unused_imports(lines: DataFrame) -> DataFrame:
         .select(*FILE, "name")
     )
     hits = imports.join(used_words.unionByName(used_odd), [*FILE, "name"], "left_anti")
-    return _finish(
-        hits,
-        _fixed(
-            "TS-004", "TypeScriptUnusedImportRule", 1, F.col("ord"), SUB_STEP + F.col("nth"), F.col("name"),
-            original=T.rstrip(content),
-        ),
+    return hits, Found(
+        F.lit(True), (F.col("name"),), pos=F.col("ord"), sub=F.col("nth"), original=T.rstrip(content)
     )
-
-
-def file_findings(changed_lines: DataFrame, rule_ids: set | None = None, size: int = ordered.DEFAULT_RANGE):
-    """All rules of this module (or the given ones), as a list of DataFrames."""
-    ids = FILE_RULES if rule_ids is None else FILE_RULES & set(rule_ids)
-    lines = with_language(changed_lines)
-    parts = [whole_file_findings(lines, ids)]
-    if "CS-STYLE-003" in ids:
-        parts.append(braceless_control_flow(lines))
-    if "SQL-FMT-002" in ids:
-        parts.append(double_blank_lines(lines, size))
-    if "GEN-004" in ids:
-        parts.append(commented_code_runs(lines, size))
-    if "TS-002" in ids:
-        parts.append(await_without_try(lines, size))
-    if "TS-004" in ids:
-        parts.append(unused_imports(lines))
-    return [p for p in parts if p is not None]

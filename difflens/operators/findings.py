@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from . import file_rules, files, ordered, registry
-from . import rules_cs, rules_general, rules_sql  # noqa: F401  (register the line rules)
+from . import files, ordered, registry
+from . import file_rules, rules_cs, rules_general, rules_sql  # noqa: F401  (register the rules)
 from .registry import EMISSION_ORDER
 
 
 def find(changed_lines: DataFrame, rule_ids=None, size: int = ordered.DEFAULT_RANGE) -> DataFrame:
     """Run the rules. Lines of files outside the review must already be filtered out."""
     ids = None if rule_ids is None else set(rule_ids)
-    parts = file_rules.file_findings(changed_lines, ids, size)
-    per_line = registry.line_findings(changed_lines, ids)
-    if per_line is not None:
-        parts.insert(0, per_line)
-    return reduce(DataFrame.unionByName, parts)
+    parts = [registry.line_findings(changed_lines, ids), registry.file_findings(changed_lines, ids)]
+    parts += registry.window_findings(changed_lines, ids, size)
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
 def last_file_per_path(changed_lines: DataFrame) -> DataFrame:

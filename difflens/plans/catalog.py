@@ -159,6 +159,27 @@ def suggested_fixes(spark, sf_dir):
     )
 
 
+@query(
+    "rule_catalogue",
+    "SELECT g.*, count(found.rule_id) AS n_findings, count(DISTINCT found.rule_id) AS n_rules_hit, "
+    "count(DISTINCT struct_pack(p := found.pr_id, f := found.file_idx)) FILTER (WHERE found.rule_id IS NOT NULL) AS n_files "
+    f"FROM (VALUES {O.RULE_GROUP_ROWS}) g(class_name, file_types, description, ord) LEFT JOIN found ON found.rule_ord = g.ord "
+    "GROUP BY ALL",
+    "found",
+)
+def rule_catalogue(spark, sf_dir):
+    """The rule classes, and what each found in the reviewed lines."""
+    hits = staged_findings(spark, sf_dir).groupBy("rule_ord").agg(
+        F.count("*").alias("n_findings"),
+        F.count_distinct("rule_id").alias("n_rules_hit"),
+        F.count_distinct("pr_id", "file_idx").alias("n_files"),
+    )
+    return registry.rule_catalogue(spark).join(hits, "rule_ord", "left").select(
+        "class_name", F.array_join("file_types", ", ").alias("file_types"), "description",
+        F.col("rule_ord").alias("ord"), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in hits.columns[1:]],
+    )
+
+
 @query("findings_suppressed", "SELECT pr_id, path, line_no, rule_id, message, suppressed FROM findings", "findings")
 def findings_suppressed(spark, sf_dir):
     lines = reviewed_lines(spark, sf_dir)

@@ -58,6 +58,17 @@ REVIEWABLE = (
     + f" AND {suffix('path', V.REVIEWABLE_SUFFIXES)})"
 )
 SEVERITY_RANK = case("severity", {s: i for i, s in enumerate(V.SEVERITIES)}, 3)
+# Rule classes with the kinds of files they look at, as SQL rows.
+RULE_GROUP_ROWS = ", ".join(
+    "('%s', '%s', '%s', %d)"
+    % (
+        name,
+        ", ".join(k for k, tests in (("C#", {".cs"}), ("SQL", {".sql"}), ("JS/TS", {".js", ".ts"})) if tests & set(suffixes)) or "General",
+        summary.replace("'", "''"),
+        i,
+    )
+    for i, (name, suffixes, summary) in enumerate(V.RULE_GROUPS, 1)
+)
 EMISSION = "file_idx, rule_ord, phase, emit_pos, emit_sub"
 ICON = case("severity", V.SEVERITY_ICONS, V.DEFAULT_ICON)
 FORMATTED = f"({ICON} || ' **' || upper(severity) || '** (`' || rule_id || '`): ' || message)"

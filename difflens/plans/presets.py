@@ -25,16 +25,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import values as V
-from ..operators import counts, diff, documents, files, findings, report, scope
+from ..operators import counts, diff, documents, files, findings, registry, report, scope
 from ..sources import landed, staging, store
 
 
 def lines_by_language(diffs: DataFrame) -> DataFrame:
-    """Changed lines with their language; lines of files outside the review keep only their place."""
+    """Changed lines with their language and the flags of file and window rules; lines of files outside the review keep
+    only their place."""
     inside = files.is_reviewable(F.col("path"))
-    return diff.explode_diffs(diffs).withColumn("content", F.when(inside, F.col("content"))).withColumn(
+    lines = diff.explode_diffs(diffs).withColumn("content", F.when(inside, F.col("content"))).withColumn(
         "lang", F.when(inside, files.language(F.col("path"))).otherwise("outside")
     )
+    return registry.with_flags(lines)
 
 
 @dataclass

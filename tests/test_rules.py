@@ -227,6 +227,99 @@ def test_own_rule(spark):
         registry.LINE_RULES.pop()
 
 
+@pytest.fixture
+def own_rules():
+    """An own file rule and an own window rule, each in a class of its own, and a window rule among the built-in ones."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    kinds = (registry.LINE_RULES, registry.FILE_RULES, registry.WINDOW_RULES)
+    sizes = [len(k) for k in kinds]
+
+    @registry.file_rule(
+        "MY-010", "Migrations", severity="error", message="{0} drops, first in line {1}", suffixes=[".sql", ".mig"],
+        flags={"drops": lambda ln: ln.has_ci("drop table")},
+        measures=lambda flag: {"n": F.count_if(flag("drops")), "at": F.min(F.when(flag("drops"), F.col("line_no")))},
+    )
+    def many_drops(f):
+        """Too many tables dropped.
+
+        Second paragraph."""
+        return registry.FileHit(f.measured["n"] > 1, (f.measured["n"], f.measured["at"]), line=f.measured["at"])
+
+    def repeated(lines, size):
+        before = F.lag("content").over(Window.partitionBy("pr_id", "file_idx").orderBy("line_no"))
+        hits = lines.filter("filled").withColumn("again", before == F.col("content"))
+        return hits, registry.Found(F.col("again"), (F.trim("content"),), original=F.col("content"))
+
+    filled = {"filled": lambda ln: ln.text != ""}
+    registry.window_rule("MY-020", "Echoes", severity="warning", message="`{0}` again", suffixes=[], flags=filled)(repeated)
+    registry.window_rule(
+        "MY-030", "CSharpStyleRules", branch=9, severity="suggestion", message="twice `{0}`", flags=filled
+    )(repeated)
+    yield
+    for kind, n in zip(kinds, sizes):
+        del kind[n:]
+
+
+OWN_CASES = [
+    ("a.sql", numbered("x", "DROP TABLE a", "", "drop table b", "drop table b")),
+    ("b.MIG", numbered("drop table a", "drop table c")),
+    ("c.sql", numbered("drop table a", "DROP")),
+    ("d.cs", numbered("drop table a", "drop table a", "var x = 4;", "drop table a")),
+]
+
+
+def test_own_file_and_window_rules(spark, own_rules):
+    lines = changed_lines(spark, OWN_CASES)
+    rows = fd.find(lines, {"MY-010", "MY-020", "MY-030"}).collect()
+    got = sorted((r.pr_id, r.rule_id, r.line_no, r.severity, r.message) for r in rows)
+    assert got == [
+        (0, "MY-010", 2, "error", "3 drops, first in line 2"),
+        (0, "MY-020", 5, "warning", "`drop table b` again"),
+        (1, "MY-010", 1, "error", "2 drops, first in line 1"),
+        (3, "MY-020", 2, "warning", "`drop table a` again"),
+        (3, "MY-030", 2, "suggestion", "twice `drop table a`"),
+    ]
+    order = [r.rule_id for r in sorted(rows, key=lambda r: tuple(r[c] for c in registry.EMISSION_ORDER)) if r.pr_id == 3]
+    assert order == ["MY-030", "MY-020"]  # the built-in class comes first
+
+
+def test_flags_are_computed_once_and_then_read(spark, own_rules):
+    lines = changed_lines(spark, [(path, text) for _, path, text, _, _ in CASES] + OWN_CASES)
+    flagged = registry.with_flags(lines)
+    declared = {registry.flag_name(r, f) for r in (*registry.FILE_RULES, *registry.WINDOW_RULES) for f in r.flags}
+    assert declared <= set(flagged.columns) and "flag_MY-010_drops" in declared
+    assert registry.with_flags(flagged) is flagged
+    ids = {r.rule_id for r in (*registry.FILE_RULES, *registry.WINDOW_RULES)}
+    assert sorted(map(tuple, fd.find(flagged, ids).collect())) == sorted(map(tuple, fd.find(lines, ids).collect()))
+    # Rules on staged lines read the flags, not the text.
+    wrong = flagged.withColumn("content", registry.F.lit("x"))
+    blank = fd.find(wrong, {"SQL-FMT-002", "SQL-BP-005", "GEN-004", "MY-010"})
+    assert blank.count() == fd.find(lines, {"SQL-FMT-002", "SQL-BP-005", "GEN-004", "MY-010"}).count() > 0
+    # Lines staged before a rule was registered get its flags when it runs.
+    older = flagged.drop("flag_MY-010_drops")
+    assert fd.find(older, {"MY-010"}).count() == 2
+
+
+def test_lines_outside_the_languages_of_a_rule_have_no_flags(spark):
+    lines = registry.with_flags(changed_lines(spark, [("a.cs", {1: "BEGIN TRAN"}), ("a.sql", {1: "BEGIN TRAN"})]))
+    assert [r[0] for r in lines.orderBy("pr_id").select("`flag_SQL-BP-005_begins`").collect()] == [None, True]
+
+
+def test_flags_must_not_hide_the_columns_of_a_line():
+    with pytest.raises(ValueError, match="MY-040"):
+        registry.window_rule("MY-040", "Mine", severity="error", message="x", flags={"path": lambda ln: ln.path == ""})
+
+
+def test_own_rules_in_the_catalogue(spark, own_rules):
+    rows = {r.class_name: r for r in registry.rule_catalogue(spark).collect()}
+    assert len(rows) == 16 and rows["CSharpStyleRules"].file_types == ["C#"]
+    assert rows["Migrations"].file_types == ["SQL"] and rows["Migrations"].description == "Too many tables dropped."
+    assert rows["Echoes"].file_types == ["C#", "SQL", "JS/TS"] and rows["Echoes"].description == "`{0}` again"
+    assert rows["Migrations"].rule_ord == rows["Echoes"].rule_ord == 15
+
+
 def test_catalogue(spark):
     rows = registry.rule_catalogue(spark).collect()
     assert len(rows) == 14
