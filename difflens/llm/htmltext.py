@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,12 +31,14 @@ STOP_WORDS = frozenset(
     "il di che non per una sono della con è nel alla dei i o da um uma não com os as ao het een van dat op te zijn".split()
 )
 
-_RAW = "script|style|textarea"
-_PIECE = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_QUOTED = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_TAG = re.compile(rf"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_QUOTED})>")
+_NAME = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)")
+#: Elements that run to their end tag, or to the end of the page.
+_RAW = re.compile(r"<(script|style|textarea)\b", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in ("script", "style", "textarea")}
+#: Tags up to this length are read by the pattern, longer ones by their quotes.
+_NEAR = 512
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr td th option".split())
@@ -54,7 +59,7 @@ _PARTS = re.compile(
     re.I,
 )
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[_-]?(?:body|content|text))?(?:$|\s)", re.I)
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_CORE = re.compile(r"[^\W\d_](?:.*[^\W\d_])?", re.S)
 
 
 @dataclass
@@ -66,12 +71,106 @@ class Block:
     article: bool
 
 
+class _TagEnds:
+    """Where the tag that a place lies in ends: at the next ``>`` outside quotes, -1 without one. All places of a page
+    together take time linear in its length, as each quote is followed once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.signs = [m.start() for m in re.finditer(r"[>\"']", page)]
+        self.known: dict[int, int] = {}
+
+    def __call__(self, at: int) -> int:
+        passed, end = [], -1
+        while True:
+            i = bisect_left(self.signs, at)
+            if i == len(self.signs):
+                break
+            sign = self.signs[i]
+            if sign in self.known:
+                end = self.known[sign]
+                break
+            if self.page[sign] == ">":
+                end = sign
+                break
+            passed.append(sign)
+            closing = self.page.find(self.page[sign], sign + 1)
+            if closing < 0:
+                break
+            at = closing + 1
+        for sign in passed:
+            self.known[sign] = end
+        return end
+
+
+def pieces(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it is an end tag, attributes) of the page's markup in order. The tag is '' for comments,
+    declarations, and raw elements with all they hold. A ``<`` that opens nothing is text."""
+    ends = None
+    last = page.rfind(">")
+    at = page.find("<")
+    while at >= 0:
+        end, tag, closing, attrs = -1, "", False, ""
+        if page.startswith("<!--", at):
+            found = page.find("-->", at + 4)
+            end = found + 3 if found >= 0 else len(page)
+        elif m := _TAG.match(page, at, at + _NEAR):
+            end, tag, closing, attrs = m.end(), m["tag"].lower(), bool(m["end"]), m["attrs"]
+        elif at < last and (m := _NAME.match(page, at)):
+            ends = ends or _TagEnds(page)
+            if (found := ends(m.end())) >= 0:
+                end, tag, closing, attrs = found + 1, m["tag"].lower(), bool(m["end"]), page[m.end() : found]
+        if end < 0 and at + 1 < last and page[at + 1] in "!?/":
+            end = page.index(">", at + 2) + 1
+        if tag and (raw := _RAW.match(page, at)):
+            found = _RAW_END[raw[1].lower()].search(page, end)
+            end, tag, closing, attrs = found.end() if found else len(page), "", False, ""
+        if end >= 0:
+            yield at, end, tag, closing, attrs
+        at = page.find("<", max(end, at + 1))
+
+
+class _Open:
+    """The open elements, with counts of what is asked about them, so that depth costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.tags: Counter = Counter()
+        self.outside = self.article = self.unread = 0
+
+    @property
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def push(self, tag: str, outside: bool, article: bool) -> None:
+        self.stack.append((tag, outside, article))
+        self._count(1, tag, outside, article)
+
+    def pop(self) -> str:
+        one = self.stack.pop()
+        self._count(-1, *one)
+        return one[0]
+
+    def _count(self, by: int, tag: str, outside: bool, article: bool) -> None:
+        self.tags[tag] += by
+        self.outside += by * outside
+        self.article += by * article
+        self.unread += by * (tag in _UNREAD)
+
+    def leave(self, tag: str) -> None:
+        """Close the innermost ``tag`` and all inside it; nothing, if none is open."""
+        if self.tags[tag]:
+            while self.pop() != tag:
+                pass
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, with references decoded and white space turned into single blanks."""
+    """The page's blocks in order, with references decoded and white space turned into single blanks. Time is linear in
+    the page's length, also for markup that is never closed."""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    opened = _Open()
     heading = ""
     link = 0
 
@@ -79,71 +178,66 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             chars = len(" ".join(html.unescape("".join(linked)).split()))
-            out.append(Block(text, chars, bool(heading), any(o for _, o, _ in stack), any(a for _, _, a in stack)))
+            out.append(Block(text, chars, bool(heading), opened.outside > 0, opened.article > 0))
         parts.clear()
         linked.clear()
 
     def read(text):
-        if stack and stack[-1][0] == "head" and text.strip():
-            stack.pop()
-        if not any(t in _UNREAD or t == "head" for t, _, _ in stack):
+        if opened.top == "head" and text.strip():
+            opened.pop()
+        if not opened.unread and not opened.tags["head"]:
             parts.append(text)
             if link:
                 linked.append(text)
 
     at = 0
     last_end: dict[str, int] = {}
-    for m in _PIECE.finditer(page):
-        if m.start() > at:
-            read(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if m["raw"] or not tag:
+    for start, stop, tag, ends, attrs in pieces(page):
+        if start > at:
+            read(page[at:start])
+        at = stop
+        if not tag:
             continue
-        if tag == "head" and m["end"] or not m["end"] and tag not in _IN_HEAD:  # the end tag of head may be missing
-            above = [t for t, _, _ in stack]
-            if "head" in above and not any(t in _UNREAD for t in above):
-                del stack[above.index("head") :]
+        if tag == "head" and ends or not ends and tag not in _IN_HEAD:  # the end tag of head may be missing
+            if opened.tags["head"] and not opened.unread:
+                while opened.tags["head"]:
+                    opened.pop()
                 close()
-        if not m["end"] and tag in _BLOCKS:
-            while stack and stack[-1][0] in _PHRASES:
-                stack.pop()
+        if not ends and tag in _BLOCKS:
+            while opened.top in _PHRASES:
+                opened.pop()
         if tag in _UNREAD:
-            if m["end"]:
-                if any(t == tag for t, _, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-            elif not m["attrs"].rstrip().endswith("/"):
+            if ends:
+                opened.leave(tag)
+            elif not attrs.rstrip().endswith("/"):
                 if tag not in last_end:
                     last_end[tag] = max((e.start() for e in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
                 if tag in _PHRASES or last_end[tag] > at:
-                    stack.append((tag, True, False))
+                    opened.push(tag, True, False)
             continue
         if tag in _INLINE:
             if tag == "a":
-                link = 0 if m["end"] else 1
-            elif tag in ("br", "img", "wbr") and tag != "wbr":
+                link = 0 if ends else 1
+            elif tag in ("br", "img"):
                 parts.append(" ")
                 linked.append(" ")
             continue
         close()
         if tag in _HEADINGS:
-            heading = "" if m["end"] else tag
+            heading = "" if ends else tag
             continue
         heading = ""
-        if tag in _VOID or tag in _LEAVES and not m["attrs"].strip():
+        if tag in _VOID or tag in _LEAVES and not attrs.strip():
             continue
-        if m["end"]:
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if ends:
+            opened.leave(tag)
             continue
-        if m["attrs"].rstrip().endswith("/"):
+        if attrs.rstrip().endswith("/"):
             continue
         if tag in _LEAVES:  # a leaf ends the one before it
-            while stack and stack[-1][0] in _LEAVES:
-                stack.pop()
-        stack.append((tag, *_place(tag, m["attrs"], any(a for _, _, a in stack))))
+            while opened.top in _LEAVES:
+                opened.pop()
+        opened.push(tag, *_place(tag, attrs, opened.article > 0))
     if at < len(page):
         read(page[at:])
     close()
@@ -165,7 +259,7 @@ def _place(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
 
 def stop_share(text: str) -> float:
     words = text.lower().split()
-    return sum(_EDGE.sub("", w) in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return sum((m := _CORE.search(w)) is not None and m[0] in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
 def first_pass(b: Block, short: int = 70, long: int = 200, links: float = 0.4, low: float = 0.12, high: float = 0.25) -> int:
