@@ -114,9 +114,12 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shi
     maps = (bitmap(index.filter("in_sketch").select("hash")), bitmap(index.select("hash")))
     shared = docs.sparkSession.sparkContext.broadcast(maps)
     hits = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(partial(_hit_batches, shared=shared, widths=sorted(widths)), "doc_id long, shingle string")
-    pairs = hits.join(index.select("item_id", "n", "needs", "shingle", "in_sketch"), "shingle")
-    pairs = pairs.groupBy("doc_id", "item_id").agg(F.first("n").alias("n_shingles"), F.first("needs").alias("needs"), F.count_distinct("shingle").alias("n_found"), F.max("in_sketch").alias("candidate"))
-    found = pairs.filter(F.col("candidate") & (F.col("n_found") >= F.col("needs")))
+    hits = staged(hits, "hits")
+    # Candidates from the sketches alone; a shingle that many items share counts only for the items a document may hold.
+    candidates = hits.join(index.filter("in_sketch").select("item_id", "shingle"), "shingle").select("doc_id", "item_id").distinct()
+    checked = candidates.join(index.select("item_id", "n", "needs", "shingle"), "item_id").join(hits, ["doc_id", "shingle"], "left_semi")
+    pairs = checked.groupBy("doc_id", "item_id").agg(F.first("n").alias("n_shingles"), F.first("needs").alias("needs"), F.count("*").alias("n_found"))
+    found = pairs.filter(F.col("n_found") >= F.col("needs"))
     return found.select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
