@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from difflens.operators import admission, findings
@@ -51,35 +52,90 @@ def test_reviews_as_they_arrive(spark, tmp_path):
     assert any(r[3] for r in got)
 
 
-def test_admission_stream_equals_batch(spark, tmp_path):
-    base = dt.datetime(2024, 1, 1)
-    rows = [(f"u{i % 3}", base + dt.timedelta(seconds=(i * 37) % 900), i) for i in range(240)]
-    batch = spark.createDataFrame(rows, "user string, ts timestamp, n long")
-    expected = sorted(map(tuple, admission.admit(batch, "user", "ts", "n", 3, 60).collect()))
-    assert 0 < sum(r[3] for r in expected) < len(rows)
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set(stream_admission.PROVIDER, stream_admission.ROCKSDB)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset(stream_admission.PROVIDER)
 
-    src = tmp_path / "in"
-    flush = [("flush", base + dt.timedelta(hours=h), 1000 + h) for h in (2, 3, 4)]
-    # Three files, shuffled in time, then a few far events to move the watermark on.
-    parts = [rows[i::3] for i in range(3)] + [[f] for f in flush]
-    spark.createDataFrame([], batch.schema).write.parquet(str(src))
-    result = tmp_path / "out"
 
-    def run():
-        events = spark.readStream.schema(batch.schema).parquet(str(src))
-        decided = stream_admission.admit_stream(events, "user", "ts", "n", 3, 60, "1 hour")
+BASE = dt.datetime(2024, 1, 1)
+EVENT = "user string, ts timestamp, n long"
+
+
+def admitted(spark, folder, parts, **options):
+    """Rows the stream decides when each of ``parts`` is a micro-batch."""
+    src, result = folder / "in", folder / "out"
+    spark.createDataFrame([], EVENT).write.parquet(str(src))
+    for part in parts:
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(src))
+        events = spark.readStream.schema(EVENT).parquet(str(src))
         q = (
-            decided.writeStream.format("parquet").option("path", str(result))
-            .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+            stream_admission.admit_stream(events, "user", "ts", "n", 3, 60, "1 hour", **options)
+            .writeStream.format("parquet").option("path", str(result))
+            .option("checkpointLocation", str(folder / "check")).trigger(availableNow=True).start()
         )
         q.awaitTermination()
         assert q.exception() is None
+    return spark.read.parquet(str(result))
+
+
+def flushes(*hours):
+    """Far events that move the watermark on, one a micro-batch."""
+    return [[("flush", BASE + dt.timedelta(hours=h), 1000 + h)] for h in hours]
+
+
+def test_admission_stream_equals_batch(spark, tmp_path, rocksdb):
+    rows = [(f"u{i % 3}", BASE + dt.timedelta(seconds=(i * 37) % 900), i) for i in range(240)]
+    rows += [("u0", BASE + dt.timedelta(seconds=s), 500 + s) for s in (59, 60, 119, 120)] + [(None, BASE, 600), (None, BASE, 601)]
+    rows += [("u1", None, 700)]
+    expected = sorted(map(str, admission.admit(spark.createDataFrame(rows, EVENT), "user", "ts", "n", 3, 60).collect()))
+    # Two parts, mixed in time; packed rows of two events.
+    got = admitted(spark, tmp_path, [rows[::2], rows[1::2]] + flushes(2, 3), rows=2).filter("key is null or key != 'flush'")
+    named = got.select(F.col("key").alias("user"), "ts", F.col("seq").alias("n"), "accepted")
+    assert sorted(map(str, named.collect())) == expected
+    assert 0 < named.filter("accepted").count() < len(rows)
+
+
+def test_state_rows_of_the_stream_do_not_grow(spark, tmp_path, rocksdb):
+    """Many events of one key wait in many small rows, and leave none when they are decided."""
+    rows = [("u", BASE + dt.timedelta(milliseconds=50 * i), i) for i in range(2000)]
+    waiting = admitted(spark, tmp_path, [rows[:1000], rows[1000:]], rows=64)
+    assert waiting.count() == 0
+
+    def state(name):
+        r = spark.read.format("statestore").option("path", str(tmp_path / "check"))
+        return r.option("stateVarName", name).load()
+
+    packed = state("packed").select("key.key", F.size("user_map_value.us").alias("n"))
+    assert packed.agg(F.sum("n")).first()[0] == 2000 and packed.agg(F.max("n")).first()[0] <= 64
+    assert state("counts").count() == 10
+    for part in flushes(2, 3):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    done = admitted_again(spark, tmp_path)
+    assert done.filter("key = 'u'").count() == 2000
+    expected = admission.admit(spark.createDataFrame(rows, EVENT), "user", "ts", "n", 3, 60).filter("accepted").count()
+    assert done.filter("key = 'u' and accepted").count() == expected
+    assert state("packed").filter("key.key = 'u'").count() == 0 and state("accepted").filter("key.key = 'u'").count() == 0
+
+
+def admitted_again(spark, folder):
+    events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    decided = stream_admission.admit_stream(events, "user", "ts", "n", 3, 60, "1 hour", rows=64)
+    q = decided.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "check"))
+    q = q.trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None
+    return spark.read.parquet(str(folder / "out"))
 
-    for part in parts:
-        spark.createDataFrame(part, batch.schema).coalesce(1).write.mode("append").parquet(str(src))
-        run()
-    got = spark.read.parquet(str(result)).filter(F.col("key") != "flush")
-    assert sorted(map(tuple, got.select("key", "ts", "seq", "accepted").collect())) == expected
+
+def test_admission_stream_names_the_state_store_it_needs(spark):
+    events = spark.readStream.format("rate").load().selectExpr("'u' as user", "timestamp as ts", "value as n")
+    with pytest.raises(ValueError, match="RocksDB"):
+        stream_admission.admit_stream(events, "user", "ts", "n")
 
 
 def test_admission_is_strict_and_ignores_rejected(spark):
