@@ -114,7 +114,8 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shi
     maps = (bitmap(index.filter("in_sketch").select("hash")), bitmap(index.select("hash")))
     shared = docs.sparkSession.sparkContext.broadcast(maps)
     hits = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(partial(_hit_batches, shared=shared, widths=sorted(widths)), "doc_id long, shingle string")
-    hits = staged(hits, "hits")
+    # The bitmaps let about a shingle in 16 through by chance; only those of items are kept.
+    hits = staged(hits.join(index.select("shingle").distinct(), "shingle", "left_semi").select("doc_id", "shingle"), "hits")
     # Candidates from the sketches alone; a shingle that many items share counts only for the items a document may hold.
     candidates = hits.join(index.filter("in_sketch").select("item_id", "shingle"), "shingle").select("doc_id", "item_id").distinct()
     checked = candidates.join(index.select("item_id", "n", "needs", "shingle"), "item_id").join(hits, ["doc_id", "shingle"], "left_semi")
