@@ -4,7 +4,7 @@ Publication. A batch of reviews is written by attempts. The rows of an attempt c
 one row in ``commits``, written last: readers join the latest attempt of each batch. A write that dies half way leaves rows
 that no reader sees; a batch that is committed is not written again, and one that is replaced leaves its old rows unseen.
 
-Layout. The tables lie by ``review_month`` and ``bucket`` (of the review's id), in files sorted by id, the reviews with a
+Layout. The tables lie by ``review_month`` and ``bucket`` (of the review's id), in files of ranges of ids sorted by id, the reviews with a
 bloom filter on ``review_uuid``. All children of a review lie in one bucket of one month, so a lookup reads that place
 alone: month and bucket are join keys, and the one review found prunes the partitions of its children.
 """
@@ -124,9 +124,11 @@ def write_attempt(base: str, tables: dict[str, DataFrame], attempt: str, buckets
             .withColumn("bucket", F.pmod(F.xxhash64(rid), F.lit(buckets)).cast("int"))
             .withColumn("attempt", F.lit(attempt))
         )
-        writer = placed.repartition("review_month", "bucket").sortWithinPartitions("review_month", "bucket", rid).write
+        # By ranges of the id too, so that a large bucket is written by several tasks, each a file of its own ids.
+        writer = placed.repartitionByRange("review_month", "bucket", rid).sortWithinPartitions("review_month", "bucket", rid).write
         if name == "reviews":
-            writer = writer.option("parquet.bloom.filter.enabled#review_uuid", "true")
+            # Filters as large as their file needs; they have a MB in each file otherwise.
+            writer = writer.option("parquet.bloom.filter.enabled#review_uuid", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.mode("append").partitionBy("review_month", "bucket").parquet(f"{base}/{name}")
 
 
