@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..sources import staging
 
 PART_BYTES = 1 << 20
+BYTES_PER_TASK = 32 << 20
+#: A piece's place in its document, beside its text.
+ROW_BYTES = 100
 SEPARATOR = ","
 
 
@@ -37,13 +40,19 @@ def in_parts(pieces: DataFrame, key: list[str], order: list[str], text: str = "t
     one that enters it. ``start`` counts the bytes before a part, and ``part`` is the start of its first piece divided by
     ``size``; a part ends with a whole piece, so it is at most one piece longer than ``size``, and behind a piece that is
     longer than that numbers are left out. Pieces equal in order follow their text. Null texts count as empty.
-    ``ranges``: into how many ranges the pieces are dealt, by default as many as there are shuffle partitions.
+    ``ranges``: into how many ranges the pieces are dealt, by default so many that each has about ``BYTES_PER_TASK`` of
+    text, and not fewer than there are shuffle partitions.
     """
     listed = [c if c in pieces.columns else F.lit(None).cast("string").alias(c) for c in ("enters", "leaves")]
     slim = pieces.select(*key, *order, F.coalesce(text, F.lit("")).alias("text"), *listed)
-    dealt = [ranges] if ranges else []
+    # Written before they are dealt, as dealing by ranges reads its input twice.
+    slim = staging.stage(slim, "loose_pieces")
+    if not ranges:
+        held = slim.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
+        ranges = staging.tasks_for(slim.sparkSession, held, BYTES_PER_TASK)
     # Written once: the range a piece falls into must not change when a task runs again.
-    placed = staging.stage(slim.repartitionByRange(*dealt, *key, *order).withColumn("_range", F.spark_partition_id()), "pieces")
+    placed = staging.stage(slim.repartitionByRange(ranges, *key, *order).withColumn("_range", F.spark_partition_id()), "pieces")
+    placed = placed.repartition(ranges, *key, "_range")
 
     inside = Window.partitionBy(*key, "_range").orderBy(*order, "text")
     before = F.lag(F.struct("leaves")).over(inside)
@@ -70,10 +79,12 @@ def in_parts(pieces: DataFrame, key: list[str], order: list[str], text: str = "t
     whole = rows.join(borders, [*key, "_range"]).withColumn("_joined", joined)
     up_to = F.sum(bytes_of(F.col("_joined"))).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     started = whole.withColumn("_start", F.col("_carry") + F.coalesce(up_to, F.lit(0)))
-    piece = F.struct(*order, "text", F.concat(F.when(F.col("_joined"), SEPARATOR).otherwise(""), F.col("text")).alias("_text"))
+    separated = lambda p: F.concat(F.when(p["_joined"], SEPARATOR).otherwise(""), p["text"])
     return (
         started.withColumn("part", F.expr(f"_start div {int(size)}"))
+        .select(*key, "part", "_start", F.struct(*order, "text", "_joined").alias("_piece"))
+        .repartition(ranges, *key, "part")
         .groupBy(*key, "part")
-        .agg(F.min("_start").alias("start"), F.array_sort(F.collect_list(piece)).alias("_pieces"))
-        .select(*key, "part", "start", F.array_join(F.transform("_pieces", lambda p: p["_text"]), "").alias("text"))
+        .agg(F.min("_start").alias("start"), F.array_sort(F.collect_list("_piece")).alias("_pieces"))
+        .select(*key, "part", "start", F.array_join(F.transform("_pieces", separated), "").alias("text"))
     )
