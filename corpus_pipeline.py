@@ -20,9 +20,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without a letter or any known n-gram go."""
+    """Documents whose language is identified, which is their ``lang`` from here on, whatever they were labelled; those
+    without a letter or a known n-gram, and those in which two languages have as many, go."""
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return langid.keep_identified(docs, model)
+    return langid.as_identified(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

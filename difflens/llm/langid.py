@@ -205,3 +205,9 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFr
     """``docs`` without the documents whose language is unknown or whose score is below ``least``."""
     out = predict(docs.select(*docs.columns), model)
     return out.filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(*docs.columns)
+
+
+def as_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents of ``docs`` in which one language has more n-grams than any other, with that language as ``lang``."""
+    found = predict(docs, model).filter((F.col("lang_pred") != NONE) & (F.col("score") > 0.5))
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"`{c}`").alias(c) for c in docs.columns])

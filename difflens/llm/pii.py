@@ -140,7 +140,7 @@ def find(docs: DataFrame) -> DataFrame:
 def _find_batches(batches):
     types = {"spans": pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), "words": pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))}
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, 1 << 18):
             spans, entities, other = [], [], []
             for text in text_column(batch).to_pylist():
                 found = base_spans(text)
@@ -231,7 +231,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
 
 def _replace_batches(batches):
-    for batch in batches:
+    for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
         row, base, terms = (batch.column(i) for i in range(3))
         names = [row.type.field(i).name for i in range(row.type.num_fields)]
         columns = dict(zip(names, row.flatten()))
