@@ -2,7 +2,9 @@
 
 import datetime
 
+from pyspark.sql import functions as F
 
+from difflens.operators import files
 from difflens.sources import corpus, staging
 
 
@@ -22,3 +24,14 @@ def test_order_lines_are_dealt_by_their_number_and_joined_once(spark, tmp_path,
     assert corpus.order_lines(spark, sf).count() == 54 + 2 + 3
     assert corpus.order_lines(spark, sf).select("cust").inputFiles() == corpus.order_lines(spark, sf).select("cust").inputFiles()
     assert corpus.diffs(spark, sf).count() == corpus.prs(spark, sf).count() == 4
+
+
+def test_paths_are_judged_without_a_regex_save_at_line_ends(spark):
+    ends = ["", "\n", "\r", "\r\n", "\x85", " ", "\n\n", " ", "x"]
+    names = ["a.cs", "A.CS", "a.Designer.cs", "a.csx", "bin/a.cs", "a.png", "a", "a.json", ".ts"]
+    paths = spark.createDataFrame([(n + e,) for n in names for e in ends] + [(None,)], "path string")
+    low = F.lower("path")
+    for suffixes in (files.V.EXCLUDED_SUFFIXES, files.V.REVIEWABLE_SUFFIXES):
+        assert paths.filter(~files._ends(low, suffixes).eqNullSafe(F.rlike(low, F.lit(files.suffix_regex(suffixes))))).count() == 0
+    kinds = {r.path: r.lang for r in paths.select("path", files.language(F.col("path")).alias("lang")).collect()}
+    assert (kinds["A.CS"], kinds["a.cs\n"], kinds["a"], kinds[None], kinds["a.json"], kinds[".ts"]) == ("cs", "other", "other", "other", "config", "ts")
