@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from difflens.operators import files
+from difflens.operators import files, findings
 from difflens.sources import corpus, staging
 
 
@@ -26,6 +26,23 @@ def test_order_lines_are_dealt_by_their_number_and_joined_once(spark, tmp_path,
     assert corpus.diffs(spark, sf).count() == corpus.prs(spark, sf).count() == 4
 
 
+def some_findings(spark):
+    rows = [
+        (pr, i % 2, f"f{i % 2}.cs", None if i % 19 == 0 else i % 40, f"CS-{i % 3}", ["error", "warning", "suggestion"][i % 3], "m", None, None, 1, 1, i % 7, i)
+        for pr in (1, 2, None) for i in range(200)
+    ]
+    kinds = "pr_id long, file_idx long, path string, line_no long, rule_id string, severity string, message string, original_line string, suggested_fix string, rule_ord int, phase int, emit_pos long, emit_sub long"
+    return spark.createDataFrame(rows, kinds)
+
+
+def test_the_top_findings_are_dealt_by_file_ranges(spark):
+    found = some_findings(spark)
+    top = findings.deduplicated_top(found, 9, limit=7, size=10)
+    once = findings.prioritise(findings.deduplicate(found), 7)
+    assert sorted(map(str, top.select(*once.columns).collect())) == sorted(map(str, once.collect()))
+    assert plan(top).count(", 9), REPARTITION_BY_NUM") == plan(top).count("Exchange hashpartitioning") == 2
+
+
 def test_paths_are_judged_without_a_regex_save_at_line_ends(spark):
     ends = ["", "\n", "\r", "\r\n", "\x85", " ", "\n\n", " ", "x"]
     names = ["a.cs", "A.CS", "a.Designer.cs", "a.csx", "bin/a.cs", "a.png", "a", "a.json", ".ts"]
