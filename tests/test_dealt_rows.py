@@ -2,6 +2,7 @@
 
 import datetime
 
+from conftest import changed_lines
 from pyspark.sql import functions as F
 
 from difflens.operators import files, findings
@@ -43,6 +44,14 @@ def test_the_top_findings_are_dealt_by_file_ranges(spark):
     assert plan(top).count(", 9), REPARTITION_BY_NUM") == plan(top).count("Exchange hashpartitioning") == 2
 
 
+def test_suppression_and_positions_are_dealt(spark):
+    lines = changed_lines(spark, [("a.cs", {1: "// review-ignore: CS-1", 2: "x"})])
+    found = some_findings(spark).withColumn("path", F.lit("a.cs")).withColumn("pr_id", F.lit(0).cast("long"))
+    for dealt, plain in ((findings.suppress(found, lines, 9), findings.suppress(found, lines)), (findings.positions(found, lines, 9), findings.positions(found, lines))):
+        assert plan(dealt).count(", 9), REPARTITION_BY_NUM") == 2
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_paths_are_judged_without_a_regex_save_at_line_ends(spark):
     ends = ["", "\n", "\r", "\r\n", "\x85", " ", "\n\n", " ", "x"]
     names = ["a.cs", "A.CS", "a.Designer.cs", "a.csx", "bin/a.cs", "a.png", "a", "a.json", ".ts"]
