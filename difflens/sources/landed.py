@@ -80,7 +80,7 @@ def scan_lines(sources: DataFrame) -> DataFrame:
 
 def local_review_lines(diffs: DataFrame, sources: DataFrame) -> DataFrame:
     """Repositories with a diff are reviewed by it, all others by a full scan."""
-    has_diff = diffs.filter(T.strip(F.col("diff_text")) != "")
+    has_diff = diffs.filter(T.lstrip(F.col("diff_text")) != "")
     from_diffs = diff.explode_diffs(has_diff, reviewable_only=True, tasks=diff.tasks_for(has_diff))
     from_scan = scan_lines(sources.join(has_diff.select("pr_id"), "pr_id", "left_anti"))
     return from_diffs.unionByName(from_scan.select(*LINE_SCHEMA))

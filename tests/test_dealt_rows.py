@@ -6,6 +6,7 @@ from conftest import changed_lines
 from pyspark.sql import functions as F
 
 from difflens.operators import files, findings
+from difflens.plans import presets
 from difflens.sources import corpus, staging
 
 
@@ -61,3 +62,14 @@ def test_paths_are_judged_without_a_regex_save_at_line_ends(spark):
         assert paths.filter(~files._ends(low, suffixes).eqNullSafe(F.rlike(low, F.lit(files.suffix_regex(suffixes))))).count() == 0
     kinds = {r.path: r.lang for r in paths.select("path", files.language(F.col("path")).alias("lang")).collect()}
     assert (kinds["A.CS"], kinds["a.cs\n"], kinds["a"], kinds[None], kinds["a.json"], kinds[".ts"]) == ("cs", "other", "other", "other", "config", "ts")
+
+
+def test_a_local_review_stages_its_lines_by_language(spark):
+    text = "diff --git a/a.ts b/a.ts\n+++ b/a.ts\n@@ -1 +1 @@\n+console.log(1)\n"
+    diffs = spark.createDataFrame([(1, text), (2, " \n")], "pr_id long, diff_text string")
+    sources = spark.createDataFrame([(n, "b.cs", "Debugger.Break();") for n in (1, 2)], "pr_id long, path string, text string")
+    folders = spark.createDataFrame([(1, "a"), (2, "b")], "pr_id long, folder_name string").withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+    done = presets.local_review(diffs, sources, folders)
+    assert {f.rsplit("/", 2)[1] for f in done["lines"].inputFiles()} == {"lang=ts", "lang=cs"}
+    assert sorted((r.pr_id, r.path) for r in done["lines"].collect()) == [(1, "a.ts"), (2, "b.cs")]
+    assert {r.issue_description for r in done["responses"].collect()} == {"Source: git diff HEAD · 1 file(s) analyzed", "Source: full scan · 1 file(s) analyzed"}
